@@ -6,19 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import tokenizer_files
+from .bitplanes import read_documents, write_shards
 from .minhash_dedup import near_dedup
+from .token_counts import count_tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_table(spark, sf_dir, "documents"), tokenizer_files.path("byte_bpe_50k.json"), limit=512)
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op5_bit_plane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_documents(write_shards(_table(spark, sf_dir, "documents"), tokenizer_files.path("word_bpe_49k.json"), end_id=2))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op5_bit_plane_ids": op5_bit_plane_ids,
 }
 
 ORACLE_SQL: dict[str, str] = {}
