@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import tokenizer_files
 from .bitplanes import read_documents, write_shards
+from .decontaminate import decontaminate
+from .language_bloom import held_out, identify, train
 from .minhash_dedup import near_dedup
+from .mixing import mix, taken_words
 from .token_counts import count_tokens
 
 
@@ -24,14 +27,36 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op4_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
+    joined = F.array_join(F.array_sort("items"), ",")
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(joined.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+    )
+
+
 def op5_bit_plane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(write_shards(_table(spark, sf_dir, "documents"), tokenizer_files.path("word_bpe_49k.json"), end_id=2))
 
 
+def op7_block_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken_words(*mix(_table(spark, sf_dir, "documents"), weights=(3.0, 1.0, 2.0), share=1.5, repeat=2.0))
+
+
+def op9_language_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = train(docs.where(~held_out()))
+    found = identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op4_prefix_decontamination": op4_prefix_decontamination,
     "op5_bit_plane_ids": op5_bit_plane_ids,
+    "op7_block_mixing": op7_block_mixing,
+    "op9_language_bloom": op9_language_bloom,
 }
 
 ORACLE_SQL: dict[str, str] = {}
