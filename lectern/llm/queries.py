@@ -9,10 +9,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import tokenizer_files
 from .bitplanes import read_documents, write_shards
 from .decontaminate import decontaminate
+from .html_graph import extract
 from .language_bloom import held_out, identify, train
 from .minhash_dedup import near_dedup
 from .mixing import mix, taken_words
+from .progressive_jpeg import describe, store_texts
+from .template_lines import line_report
 from .token_counts import count_tokens
+from .url_markov import fit, judge, labelled_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +31,10 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op3_template_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(_table(spark, sf_dir, "documents"))
+
+
 def op4_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
     joined = F.array_join(F.array_sort("items"), ",")
@@ -39,10 +47,18 @@ def op5_bit_plane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(write_shards(_table(spark, sf_dir, "documents"), tokenizer_files.path("word_bpe_49k.json"), end_id=2))
 
 
+def op6_html_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def op7_block_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(*mix(_table(spark, sf_dir, "documents"), weights=(3.0, 1.0, 2.0), share=1.5, repeat=2.0))
 
 
+def op8_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return describe(store_texts(_table(spark, sf_dir, "documents")))
+
+
 def op9_language_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = train(docs.where(~held_out()))
@@ -50,13 +66,21 @@ def op9_language_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op10_url_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(_table(spark, sf_dir, "pages"), fit(labelled_urls(spark)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_template_lines": op3_template_lines,
     "op4_prefix_decontamination": op4_prefix_decontamination,
     "op5_bit_plane_ids": op5_bit_plane_ids,
+    "op6_html_graph": op6_html_graph,
     "op7_block_mixing": op7_block_mixing,
+    "op8_progressive_jpeg": op8_progressive_jpeg,
     "op9_language_bloom": op9_language_bloom,
+    "op10_url_markov": op10_url_markov,
 }
 
 ORACLE_SQL: dict[str, str] = {}
