@@ -14,7 +14,7 @@ class InvalidInput(ValueError):
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines: line_no (from 1, per file), raw, row (null if malformed). Blank and ``//`` lines are skipped."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\r?\n")).alias("at", "raw"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("at", "raw"))
     rows = lines.where((F.trim("raw") != "") & ~F.startswith(F.trim("raw"), F.lit("//")))
     return rows.select((F.col("at") + 1).alias("line_no"), "raw", F.from_json("raw", schema, {"mode": "PERMISSIVE"}).alias("row"))
 

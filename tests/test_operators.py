@@ -290,7 +290,7 @@ def test_crash_is_a_finding(spark):
 
 
 def test_layout(spark):
-    data = [(1, 0, "A Study of Many Things", 20.0, False, 1), (1, 1, "IEEE Transactions on Testing, VOL. 3", 9.0, False, 1), (1, 2, "Abstract", 10.0, True, 1), (1, 3, "We look at commu-", 10.0, False, 1), (1, 4, "nication in 2021.", 10.0, False, 1), (1, 5, "II. SYSTEM MODEL", 10.0, True, 2), (1, 6, "Body text.", 10.0, False, 2)]
+    data = [(1, 0, "A Study of Many Things", 20.0, False, 1), (1, 1, "IEEE Transactions on Testing (2021)", 9.0, False, 1), (1, 2, "Abstract", 10.0, True, 1), (1, 3, "We look at commu-", 10.0, False, 1), (1, 4, "nication in 2021.", 10.0, False, 1), (1, 5, "II. SYSTEM MODEL", 10.0, True, 2), (1, 6, "Body text.", 10.0, False, 2)]
     lines = spark.createDataFrame(data, "doc_id long, pos int, text string, size double, bold boolean, page int")
     got = {r.heading: (r.kind, r.text) for r in layout.sections(lines).collect()}
     assert got["Abstract"] == ("abstract", "We look at communication in 2021.") and got["II. SYSTEM MODEL"] == ("body", "Body text.")
