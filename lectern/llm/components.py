@@ -10,7 +10,7 @@ from .workspace import drop, materialize
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -20,8 +20,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.withColumnRenamed("m", "v")).distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars: each u has one v, and no v is a u."""
+    ends = edges.select(F.col("u").alias("k"), F.lit(1).alias("n")).unionByName(edges.select(F.col("v").alias("k"), F.lit(0).alias("n")))
+    ends = ends.groupBy("k").agg(F.sum("n").alias("as_u"), F.min("n").alias("least"))
+    return ends.where("as_u > 1 OR (as_u > 0 AND least = 0)").isEmpty()
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -32,16 +35,12 @@ def connected_components(links: DataFrame) -> DataFrame:
     id are returned.  A vertex of any degree is fine: its neighbours are
     summarised by a minimum, and no list of them is built.
     """
-    edges = links.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    edges = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = _state(edges)
-    while before[0]:
+    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    edges = materialize(_small_star(edges), "edges")
+    while not _settled(edges):
         new = materialize(_small_star(_large_star(edges)), "edges")
         drop(edges)
-        edges, state = new, _state(new)
-        if state == before:
-            break
-        before = state
+        edges = new
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )

@@ -5,7 +5,7 @@ Plan
 1. Every text becomes its set of word shingles (64-bit hashes).  Equal sets are
    collapsed by a 128-bit digest, so copies never meet each other.
 2. The distinct sets get ``bands * rows`` MinHash values.  A band key that
-   several sets share makes a bucket; its least member (under one of four bit
+   several sets share makes a bucket; its least member (under one of two bit
    masks, so that buckets of one group choose different pivots) is the pivot,
    and every member is a candidate with its pivot only: the number of
    candidates is linear in the rows, however large a group is.
@@ -13,8 +13,10 @@ Plan
    batch, a pair goes when the posterior probability of reaching the threshold
    is below ``miss``.
 4. Survivors are verified on their full sets.
-5. What a pivot did not join is compared with every other member of its bucket
-   that lies in another component, by the same steps 3 and 4: no pair of a
+5. What no pivot joined (an outlier of its buckets) is compared with all members
+   of the buckets of that pivot's component: small families as pairs, by steps
+   3 and 4; large ones in tiles of bounded numbers of documents, whose pairs
+   are pruned and verified as matrices and never become rows.  So no pair of a
    bucket is left undecided.
 6. Components of the verified links give the class ids.
 
@@ -34,14 +36,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import connected_components
 from .textbytes import LOWER, NOT_SPACE, blocks, hash_spans, mix, text_buffer, window_hashes, word_spans
-from .workspace import drop, materialize
+from .workspace import materialize
 
 BANDS, ROWS, EXTRA = 64, 8, 96
 _rng = np.random.default_rng(7)
 _MUL = (_rng.integers(0, 1 << 32, BANDS * ROWS + EXTRA, dtype=np.uint32) | np.uint32(1))
 _ADD = _rng.integers(0, 1 << 32, BANDS * ROWS + EXTRA, dtype=np.uint32)
-#: Pivot order masks: disjoint views of the same ids.
-_MASKS = (0, 0x2AAAAAAAAAAAAAAA, 0x3333333333333333, 0x0F0F0F0F0F0F0F0F)
+#: Masks of the ids whose least is the pivot, by the key's last bit.
+_MASKS = (0, 0x2AAAAAAAAAAAAAAA)
+#: A family with more pairs of an outlier and a member than this is compared in tiles of TILE documents a side.
+PAIRS, TILE = 4096, 512
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[np.ndarray]:
@@ -182,14 +186,90 @@ def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, width: int
     return both.mapInArrow(_similar(percent), "a bigint, b bigint").distinct()
 
 
+def _tile(percent: int, miss: float, step: int = 16):
+    """(a, b): the components of two sides of a tile that a verified link joins."""
+    bounds = prune_below(percent / 100, miss, EXTRA, step)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        sides = []
+        for table in (left, right):
+            own = table["own"].to_numpy()
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["shingles"]]
+            sizes = np.array([len(x) for x in sets], dtype=np.int64)
+            sides.append((own, np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(-1, EXTRA), sets, sizes))
+        (own, sig, sets, n), (own2, sig2, sets2, n2) = sides
+        alive = own[:, None] != own2[None, :]
+        alive &= 100 * np.minimum.outer(n, n2) >= percent * np.maximum.outer(n, n2)
+        same = np.zeros(alive.shape, dtype=np.int16)
+        for k, least in enumerate(bounds):
+            if not alive.any():
+                break
+            for j in range(k * step, (k + 1) * step):
+                same += sig[:, j, None] == sig2[None, :, j]
+            alive &= same >= least
+        rows, columns = np.flatnonzero(alive.any(axis=1)), np.flatnonzero(alive.any(axis=0))
+        both = np.zeros((len(rows), len(columns)), dtype=np.float32)
+        if len(rows):
+            flat = [np.concatenate([part[k] for k in which]) for part, which in ((sets, rows), (sets2, columns))]
+            shared = np.intersect1d(*flat)
+            at = [np.searchsorted(shared, f) for f in flat]
+            ok = [(p < len(shared)) & (shared[np.minimum(p, len(shared) - 1)] == f) if len(shared) else np.zeros(len(f), bool) for p, f in zip(at, flat)]
+            doc = [np.repeat(np.arange(len(which)), size[which]) for which, size in ((rows, n), (columns, n2))]
+            for c in range(0, len(shared), 4096):
+                pair = []
+                for p, good, d, which in zip(at, ok, doc, (rows, columns)):
+                    take = good & (p >= c) & (p < c + 4096)
+                    dense = np.zeros((len(which), min(4096, len(shared) - c)), dtype=np.float32)
+                    dense[d[take], p[take] - c] = 1
+                    pair.append(dense)
+                both += pair[0] @ pair[1].T
+        union = n[rows][:, None] + n2[columns][None, :] - both
+        good = alive[np.ix_(rows, columns)] & (100 * both >= percent * union)
+        i, j = np.nonzero(good)
+        links = np.unique(np.stack([own[rows][i], own2[columns][j]], axis=1), axis=0) if len(i) else np.zeros((0, 2), np.int64)
+        return pa.table({"a": pa.array(links[:, 0], pa.int64()), "b": pa.array(links[:, 1], pa.int64())})
+
+    return run
+
+
+def _residue(labelled: DataFrame, sketches: DataFrame, docs: DataFrame, width: int, percent: int, miss: float) -> DataFrame | None:
+    """Links (a, b) between outliers and other members of their families, or None if there are no outliers.
+
+    labelled: (main, id, own): the component of a bucket's pivot, a member, the member's component.
+    """
+    family = labelled.groupBy("main").agg(F.count("*").alias("s"), F.count_if(F.expr("own <> main")).alias("o")).where("o > 0")
+    family = materialize(labelled.join(family, "main"), "families")
+    if family.isEmpty():
+        return None
+    outlier = F.col("own") != F.col("main")
+    small, large = family.where(f"s * o <= {PAIRS}"), family.where(f"s * o > {PAIRS}")
+    x = small.where(outlier).select("main", F.col("id").alias("x"), F.col("own").alias("x_own"))
+    pairs = x.join(small.select("main", "id", "own"), "main").where("x_own <> own AND (x < id OR own = main)")
+    pairs = pairs.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+    links = _verified(pairs, sketches, docs, width, percent, miss)
+    if large.isEmpty():
+        return links
+    ids = large.select("id").distinct()
+    sets = docs.join(ids, "id", "left_semi").select("id", "text").mapInArrow(_sets(width), "id bigint, shingles binary")
+    full = materialize(large.join(sketches.select("id", "sig"), "id").join(sets, "id"), "family-sets")
+    full = full.withColumn("sb", F.pmod(F.xxhash64("id"), F.ceil(F.col("s") / TILE))).withColumn("ob", F.pmod(F.xxhash64("id"), F.ceil(F.col("o") / TILE)))
+    columns = ["main", "sb", "ob", "own", "sig", "shingles"]
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.ceil(F.col(n) / TILE) - 1))
+    left = full.withColumn("ob", every("o")).select(columns)
+    right = full.where(outlier).withColumn("sb", every("s")).select([F.col(c).alias(c) for c in columns])
+    keys = ["main", "sb", "ob"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_tile(percent, miss), "a bigint, b bigint")
+    return links.unionByName(found)
+
+
 def _pivot() -> Column:
     """The pivot of a bucket: its least id under the mask that the key picks."""
-    least = [F.min(F.when(F.col("key").bitwiseAND(3) == k, F.col("id").bitwiseXOR(mask))) for k, mask in enumerate(_MASKS)]
+    least = [F.min(F.when(F.col("key").bitwiseAND(1) == k, F.col("id").bitwiseXOR(mask))) for k, mask in enumerate(_MASKS)]
     return F.coalesce(*[m.bitwiseXOR(mask) for m, mask in zip(least, _MASKS)])
 
 
 def near_dedup(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, miss: float = 1e-7
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, miss: float = 1e-6
 ) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept.
 
@@ -222,16 +302,9 @@ def near_dedup(
 
     labelled = members.join(label.select("id", F.col("component").alias("own")), "id", "left").withColumn("own", F.coalesce("own", "id"))
     labelled = labelled.join(label.select(F.col("id").alias("pivot"), F.col("component").alias("main")), "pivot", "left")
-    labelled = materialize(labelled.select("key", "id", "own", "pivot", F.coalesce("main", "pivot").alias("main")), "labelled")
-    drop(members)
-    apart = labelled.where("own <> main").select("key", F.col("id").alias("x"), F.col("own").alias("x_own"))
-    rest = apart.join(labelled, "key").where("x_own <> own AND id <> pivot")
-    rest = rest.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
-    if apart.isEmpty():
-        final = label
-    else:
-        more = _verified(rest, sketches, rows, width, percent, miss)
-        final = connected_components(materialize(links.unionByName(more), "links"))
+    labelled = labelled.select(F.coalesce("main", "pivot").alias("main"), "id", "own").distinct()
+    more = _residue(materialize(labelled, "labelled"), sketches, rows, width, percent, miss)
+    final = label if more is None else connected_components(materialize(label.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more), "links"))
 
     classes = groups.join(final.select(F.col("id").alias("rep"), "component"), "rep", "left")
     classes = classes.select("digest", F.coalesce("component", "rep").alias("component_id"))
