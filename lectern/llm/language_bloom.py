@@ -164,7 +164,7 @@ def _predict(shared):
                 most, every = clean.max(axis=1), clean.sum(axis=1)
             names = [model.languages[k] if ok else "und" for k, ok in zip(best.tolist(), letters.tolist())]
             score = np.where(letters & (every > 0), most / np.maximum(every, 1e-9), 0.0)
-            share = np.where(letters & (total > 0), most / np.maximum(total, 1), 0.0)
+            share = np.where(letters, (most + 2) / (total + 2), 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names), pa.array(score), pa.array(np.minimum(share, 1.0))], names=["id", "lang_pred", "score", "coverage"])
 
     return run
@@ -176,7 +176,8 @@ def identify(docs: DataFrame, model: LanguageFilter, *, id_col: str = "doc_id",
     lang_pred is ``und`` for a null text and one without a letter, else the
     language with most n-grams (the first by name among equals, also for texts
     too short for one).  score is its share of all languages' n-grams,
-    coverage its share of the text's.  Whole texts are read.  Ids may be null
+    coverage its share of the text's, with two more counted as its own, so that
+    a short text isn't taken for an unknown language.  Whole texts are read.  Ids may be null
     or repeat, and other columns play no part.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
