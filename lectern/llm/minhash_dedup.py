@@ -46,6 +46,8 @@ _ADD = _rng.integers(0, 1 << 32, BANDS * ROWS + EXTRA, dtype=np.uint32)
 _MASKS = (0, 0x2AAAAAAAAAAAAAAA)
 #: A family with more pairs of an outlier and a member than this is compared in tiles of TILE documents a side.
 PAIRS, TILE = 4096, 512
+#: Size of the filter of wanted ids: 2 ** 24 bits are 2 MB.
+FILTER_BITS = 24
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[np.ndarray]:
@@ -151,15 +153,34 @@ def _bayes(threshold: float, miss: float, step: int = 16):
     return run
 
 
-def _sets(width: int):
+def _sets(width: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
         for batch in batches:
+            slot = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((words[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
             got = [s.tobytes() for s in shingle_sets(*text_buffer(batch.column(1)), width)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], names=["id", "shingles"])
 
     return run
 
 
+def _sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(id, shingles) of the documents whose ids are wanted, and of a few more.
+
+    The wanted ids go to the workers as a filter of 2 ** FILTER_BITS bits, so
+    that the texts of other documents are not shuffled.  The filter's size
+    doesn't grow with the data; a full one lets more sets through, and the
+    joins that follow drop them.
+    """
+    slot = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))
+    words = ids.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(s & 63 AS INT))")).alias("m")).toArrow()
+    bits = np.zeros(1 << (FILTER_BITS - 6), dtype=np.uint64)
+    bits[words["w"].to_numpy()] = words["m"].to_numpy().view(np.uint64)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    return docs.where("id IS NOT NULL").select("id", "text", slot.alias("slot")).mapInArrow(_sets(width, shared), "id bigint, shingles binary")
+
+
 def _similar(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,7 +201,7 @@ def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, width: int
     close = pairs.join(side("a"), "a").join(side("b"), "b").where(fits).select("a", "b", "sa", "sb")
     close = materialize(close.mapInArrow(_bayes(percent / 100, miss), "a bigint, b bigint").distinct(), "survivors")
     wanted = close.select(F.col("a").alias("id")).unionByName(close.select(F.col("b").alias("id"))).distinct()
-    sets = materialize(docs.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(_sets(width), "id bigint, shingles binary"), "sets")
+    sets = materialize(_sets_of(docs, wanted, width), "sets")
     full = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"x{c}"))
     both = close.join(full("a"), "a").join(full("b"), "b").select("a", "b", "xa", "xb")
     return both.mapInArrow(_similar(percent), "a bigint, b bigint").distinct()
@@ -250,7 +271,7 @@ def _residue(labelled: DataFrame, sketches: DataFrame, docs: DataFrame, width: i
     if large.isEmpty():
         return links
     ids = large.select("id").distinct()
-    sets = docs.join(ids, "id", "left_semi").select("id", "text").mapInArrow(_sets(width), "id bigint, shingles binary")
+    sets = _sets_of(docs, ids, width)
     full = materialize(large.join(sketches.select("id", "sig"), "id").join(sets, "id"), "family-sets")
     full = full.withColumn("sb", F.pmod(F.xxhash64("id"), F.ceil(F.col("s") / TILE))).withColumn("ob", F.pmod(F.xxhash64("id"), F.ceil(F.col("o") / TILE)))
     columns = ["main", "sb", "ob", "own", "sig", "shingles"]
