@@ -17,9 +17,11 @@ from .progressive_jpeg import describe, store_texts
 from .template_lines import line_report
 from .token_counts import count_tokens
 from .url_markov import fit, judge, labelled_urls
+from .workspace import bound_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
