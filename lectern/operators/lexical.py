@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import re
 
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from ..functions.stem import stems_udf
 from ..functions.text import terms
 
 
-def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
-    """chunk, term, tf: the index. Stored once for a configuration, it serves any number of queries."""
-    rows = chunks.select(F.col(id_col).alias("chunk_id"), F.explode(terms(F.col(text_col))).alias("term"))
+def _terms(text: Column, stemmed: bool) -> Column:
+    return stems_udf(terms(text)) if stemmed else terms(text)
+
+
+def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", stemmed: bool = False) -> DataFrame:
+    """chunk, term, tf: the index. Stored once for a configuration, it serves any number of queries.
+
+    stemmed: English stems without stop words; the queries must be made alike.
+    """
+    rows = chunks.select(F.col(id_col).alias("chunk_id"), F.explode(_terms(F.col(text_col), stemmed)).alias("term"))
     return rows.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
 
 
-def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "text") -> DataFrame:
+def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "text", stemmed: bool = False) -> DataFrame:
     """query, term, n_terms: the distinct terms; a query without terms has no rows, and so no hits."""
-    own = F.array_distinct(terms(F.col(text_col)))
+    own = F.array_distinct(_terms(F.col(text_col), stemmed))
     return queries.select(F.col(id_col).alias("query_id"), own.alias("t")).select("query_id", F.size("t").alias("n_terms"), F.explode("t").alias("term"))
 
 
@@ -46,3 +56,50 @@ def phrase_search(queries: DataFrame, chunks: DataFrame, *, top_k: int = 5) -> D
     found = near.where(F.contains(line("t"), line("q")))
     order = Window.partitionBy("query_id").orderBy("chunk_id")
     return found.select("query_id", "chunk_id", F.row_number().over(order).alias("rank")).where(F.col("rank") <= top_k)
+
+
+def parse_web_query(text: str) -> tuple[list[list[str]], list[str], list[str]]:
+    """A web-search string as (groups, phrases, excluded): a chunk must have one term of each group.
+
+    ``or`` joins the terms beside it to a group, quotes make a phrase (whose
+    terms are groups too), a leading hyphen excludes a term.
+    """
+    groups: list[list[str]] = []
+    phrases: list[str] = []
+    excluded: list[str] = []
+    join = False
+    for match in re.finditer(r'(-?)"([^"]*)"|(\S+)', text.lower()):
+        word = match[3] or ""
+        if word == "or" and groups:
+            join = True
+            continue
+        found = re.findall("[a-z0-9]+", match[2] if match[3] is None else word)
+        if not found:
+            continue
+        if match[1] or word.startswith("-"):
+            excluded += found
+        elif match[3] is None:
+            phrases.append(" ".join(found))
+            groups += [[w] for w in found]
+        elif join:
+            groups[-1] += found
+        else:
+            groups += [[w] for w in found]
+        join = False
+    return groups, phrases, excluded
+
+
+def web_search(spark: SparkSession, queries: dict[int, str], chunks: DataFrame, *, top_k: int = 5) -> DataFrame:
+    """Hits (query_id, chunk_id, matched, rank) of web-search strings, which are the caller's own and few."""
+    parsed = {k: parse_web_query(v) for k, v in queries.items()}
+    wanted = spark.createDataFrame([(k, i, w) for k, (g, _, _) in parsed.items() for i, group in enumerate(g) for w in group], "query_id bigint, grp int, term string")
+    needs = spark.createDataFrame([(k, len(g), p) for k, (g, p, _) in parsed.items()], "query_id bigint, n int, phrases array<string>")
+    banned = spark.createDataFrame([(k, w) for k, (_, _, e) in parsed.items() for w in e], "query_id bigint, term string")
+    index = postings(chunks)
+    found = index.join(F.broadcast(wanted), "term").groupBy("query_id", "chunk_id").agg(F.count_distinct("grp").alias("matched"), F.sum("tf").alias("tf"))
+    found = found.join(F.broadcast(needs), "query_id").where("matched = n")
+    found = found.join(index.join(F.broadcast(banned), "term").select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    line = F.concat(F.lit(" "), F.array_join(terms(F.col("text")), " "), F.lit(" "))
+    found = found.join(chunks.select("chunk_id", line.alias("line")), "chunk_id").where(F.forall("phrases", lambda p: F.contains(F.col("line"), F.concat(F.lit(" "), p, F.lit(" ")))))
+    order = Window.partitionBy("query_id").orderBy(F.desc("tf"), "chunk_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("query_id", "chunk_id", "matched", "rank")

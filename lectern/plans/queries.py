@@ -134,6 +134,12 @@ def lexical_all(spark: SparkSession, folder: str) -> DataFrame:
     return _search(spark, folder, "all", 5)
 
 
+@_query()
+def lexical_stemmed(spark: SparkSession, folder: str) -> DataFrame:
+    index = lexical.postings(_dev_paragraphs(spark, folder), "paragraph_id", stemmed=True)
+    return lexical.search(lexical.query_terms(_questions(spark, folder), stemmed=True), index, term_logic="any")
+
+
 def _vectors(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     vectors = tables.read_table(spark, folder, "embeddings").select("vec_id", "embedding")
     return vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), vectors

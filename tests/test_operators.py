@@ -116,6 +116,28 @@ def test_search_logic(spark):
         lexical.search(terms, index, term_logic="some")
 
 
+def test_stems():
+    from lectern.functions.stem import stem
+
+    words = "caresses ponies ties cats feed agreed plastered motoring sing conflated troubled sized hopping falling hissing failing filing happy sky relational conditional rationalization vietnamization predication operator feudalism decisiveness hopefulness callousness formality triplicate formative electrical goodness revival allowance inference adjustable replacement adoption activate effective probate rate cease controlling generalizations by"
+    stems = "caress poni ti cat feed agre plaster motor sing conflat troubl size hop fall hiss fail file happi sky relat condit ration vietnam predic oper feudal decis hope callous formal triplic form electr good reviv allow infer adjust replac adopt activ effect probat rate ceas control gener by"
+    assert [stem(w) for w in words.split()] == stems.split()
+
+
+def test_stemmed_search(spark):
+    chunks = spark.createDataFrame([(1, "The relational operators are adopted"), (2, "nothing here")], "chunk_id long, text string")
+    queries = spark.createDataFrame([(1, "adoption of an operator"), (2, "the")], "query_id long, text string")
+    got = lexical.search(lexical.query_terms(queries, stemmed=True), lexical.postings(chunks, stemmed=True))
+    assert rows(got, "query_id", "chunk_id") == [(1, 1)]
+
+
+def test_web_search(spark):
+    assert lexical.parse_web_query('a "b c" or d -e -"f g" OR') == ([["a"], ["b"], ["c", "d"]], ["b c"], ["e", "f", "g"])
+    chunks = spark.createDataFrame([(1, "red car, fast"), (2, "fast red truck"), (3, "car red"), (4, "")], "chunk_id long, text string")
+    queries = {1: "red car", 2: '"red car"', 3: "car or truck -fast", 4: "zzz", 5: "car OR truck"}
+    assert rows(lexical.web_search(spark, queries, chunks), "query_id", "chunk_id") == [(1, 1), (1, 3), (2, 1), (3, 3), (5, 1), (5, 2), (5, 3)]
+
+
 def test_fusion(spark):
     lists = [spark.createDataFrame([(1, c, k + 1) for k, c in enumerate(x)], "query_id long, chunk_id long, rank int") for x in ([1, 2], [3, 2])]
     got = fusion.reciprocal_rank_fusion(lists, top_k=3).orderBy("rank").collect()
