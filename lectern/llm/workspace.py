@@ -8,6 +8,7 @@ where the setting is absent, which is the case in tests and notebooks.
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -27,7 +28,10 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all machines see, without a trailing slash."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="lectern-"))
+        if not _LOCAL:
+            _LOCAL["dir"] = tempfile.mkdtemp(prefix="lectern-")
+            atexit.register(shutil.rmtree, _LOCAL["dir"], ignore_errors=True)
+        found = _LOCAL["dir"]
     return found.rstrip("/")
 
 
