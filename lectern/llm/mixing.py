@@ -133,8 +133,9 @@ def mix(
 
     # slots: a row for each run of slots, then one for each slot, so that a large source starts in many tasks
     runs = table.where("n_slots > 0").select("rank", "n_blocks", "n_slots", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_slots") - 1) / CHUNK_SLOTS))).alias("run"))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     low, high = F.col("run") * CHUNK_SLOTS, F.least((F.col("run") + 1) * CHUNK_SLOTS, F.col("n_slots")) - 1
-    taken = runs.repartition("rank", "run").select("rank", "n_blocks", F.explode(F.sequence(low, high)).alias("slot"))
+    taken = runs.repartition(tasks, "rank", "run").select("rank", "n_blocks", F.explode(F.sequence(low, high)).alias("slot"))
     total = F.greatest(F.lit(1), F.ceil(F.lit(table.agg(F.sum("n_slots")).first()[0] or 0) / shard_blocks)).cast("bigint")
     taken = taken.withColumn("shard", F.pmod(F.xxhash64("rank", "slot", F.lit(seed), F.lit("shard")), total))
     taken = taken.withColumn("epoch", F.floor(F.col("slot") / F.col("n_blocks"))).withColumn("index", F.col("slot") % F.col("n_blocks"))
@@ -147,7 +148,8 @@ def mix(
     first = F.greatest(F.col("index") * F.col("block") - F.col("begin"), F.lit(0))
     last = F.least((F.col("index") + 1) * F.col("block") - F.col("begin"), F.col("size"))
     spread = spread.select("rank", "index", "row", "id", first.alias("first"), last.alias("last"))
-    pieces = taken.join(spread, ["rank", "index"]).select("shard", "slot", "epoch", "row", "id", "first", "last")
+    # both sides grow with the input, and the planner can't see how much the explosions make
+    pieces = taken.hint("merge").join(spread, ["rank", "index"]).select("shard", "slot", "epoch", "row", "id", "first", "last")
     return plan.select("id", "row", "size", "source", "source_size", "target"), pieces
 
 
