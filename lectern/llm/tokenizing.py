@@ -23,8 +23,9 @@ import numpy as np
 
 from .textbytes import blocks, hash_spans, starts_of_texts
 
-#: Entries of a worker's unit cache; it is emptied when full. It bounds memory and changes no result.
-CACHE_UNITS = 600_000
+#: Entries of each of a worker's two generations of cached units: a full one becomes the old one, from which
+#: units in use come back. It bounds memory and changes no result.
+CACHE_UNITS = 500_000
 
 _CLASS = np.full(256, 3, dtype=np.uint8)  # 0 white space, 1 letter, 2 digit, 3 other
 _CLASS[[32, *range(9, 14)]] = 0
@@ -106,6 +107,7 @@ class UnitEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t["content"].encode() for t in spec["added_tokens"]]
         self.cache: dict[int, bytes] = {}
+        self.old: dict[int, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -138,9 +140,16 @@ class UnitEncoder:
         place[order] = np.cumsum(lead) - 1
         names, at = ranked[lead].tolist(), order[lead]
         if len(self.cache) > CACHE_UNITS:
-            self.cache.clear()
+            self.cache, self.old = {}, self.cache
         got = [self.cache.get(k) for k in names]
-        missing = [k for k, x in enumerate(got) if x is None]
+        missing = []
+        for k, x in enumerate(got):
+            if x is None:
+                found = self.old.get(names[k])
+                if found is None:
+                    missing.append(k)
+                else:
+                    got[k] = self.cache[names[k]] = found
         if missing:
             raw = data.tobytes()
             spans = zip(starts[at[missing]].tolist(), ends[at[missing]].tolist())

@@ -109,3 +109,13 @@ def test_shards_of_documents(spark, tmp_path, planes, monkeypatch):
     files = sorted(tmp_path.glob("*.ltbp"))
     assert [x for f in files for x in bitplanes.decode_shard(f.read_bytes())[2].tolist()] == every
     assert bitplanes.read_documents(bitplanes.write_shards(documents(spark).where("false"), WORD, 2)).count() == 0
+
+
+def test_small_cache_changes_nothing(monkeypatch):
+    monkeypatch.setattr(tokenizing, "CACHE_UNITS", 5)
+    own, given_ = tokenizing.UnitEncoder(WORD), texts(8, 300)
+    for _ in range(3):
+        for k in range(0, len(given_), 20):
+            data, offsets = textbytes.text_buffer(pa.array(given_[k : k + 20]))
+            ids, counts = own.ids(data, offsets)
+            assert [list(x) for x in np.split(ids, np.cumsum(counts)[:-1])] == own.encode(given_[k : k + 20])
