@@ -165,13 +165,15 @@ def _predict(shared):
             names = [model.languages[k] if ok else "und" for k, ok in zip(best.tolist(), letters.tolist())]
             score = np.where(letters & (every > 0), most / np.maximum(every, 1e-9), 0.0)
             share = np.where(letters, (most + 2) / (total + 2), 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names), pa.array(score), pa.array(np.minimum(share, 1.0))], names=["id", "lang_pred", "score", "coverage"])
+            found = [pa.array(names, pa.string()), pa.array(score), pa.array(np.minimum(share, 1.0))]
+            kept = [batch.column(0), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays([*kept, *found], names=[f"k{k}" for k in range(len(kept))] + ["lang_pred", "score", "coverage"])
 
     return run
 
 
-def identify(docs: DataFrame, model: LanguageFilter, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, lang_pred, score, coverage.
+def identify(docs: DataFrame, model: LanguageFilter, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: id, the columns to keep, lang_pred, score, coverage.
 
     lang_pred is ``und`` for a null text and one without a letter, else the
     language with most n-grams (the first by name among equals, also for texts
@@ -181,10 +183,12 @@ def identify(docs: DataFrame, model: LanguageFilter, *, id_col: str = "doc_id",
     or repeat, and other columns play no part.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = dict(rows.dtypes)["id"]
-    out = rows.mapInArrow(_predict(shared), f"id {kind}, lang_pred string, score double, coverage double")
-    return out.withColumnRenamed("id", id_col)
+    names = [id_col, *keep]
+    rows = docs.select(F.col(id_col).alias("k0"), F.col(text_col).alias("text"), *[F.col(c).alias(f"k{k}") for k, c in enumerate(keep, 1)])
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"k{k} {kinds[f'k{k}']}" for k in range(len(names))) + ", lang_pred string, score double, coverage double"
+    out = rows.mapInArrow(_predict(shared), schema)
+    return out.select(*[F.col(f"k{k}").alias(c) for k, c in enumerate(names)], "lang_pred", "score", "coverage")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes handled at once; a longer text is handled alone, whole.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 
 _U64 = np.uint64
 _rng = np.random.default_rng(20240229)
