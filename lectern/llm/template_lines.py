@@ -25,39 +25,75 @@ from .workspace import materialize
 
 DEPTH, SIMILARITY = 3, 0.5
 VARIABLE = "<*>"
-_DIGIT = re.compile(r"\S*\d\S*")
+#: Size of the filter of leaves that several documents reach: 2 ** 26 bits are 8 MB.
+FILTER_BITS = 26
+_DIGIT = re.compile(r"\d")
 
 
-def _lines(depth: int, with_tokens: bool):
-    """A row for each line that isn't blank: id, line (its number from 0), leaf, a, b (its digest), n, [tokens]."""
+def _words(line: str) -> list[str]:
+    """The tokens of a line, those with a digit as variable."""
+    words = line.split()
+    return [VARIABLE if _DIGIT.search(w) else w for w in words] if _DIGIT.search(line) else words
+
+
+def _leaf(words: list[str], depth: int) -> int:
+    return xxhash.xxh3_64_intdigest(f"{len(words)} {' '.join(words[:depth])}")
+
+
+def _batch(ids: pa.Array, rows: list, numbers: list, leaves: list, digests: list, sizes: list) -> tuple[list, list]:
+    halves = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
+    columns = [ids.take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), pa.array(np.array(leaves, dtype=np.uint64).view(np.int64)), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(sizes, pa.int32())]
+    return columns, ["id", "line", "leaf", "a", "b", "n"]
+
+
+def _lines(depth: int, shared=None):
+    """A row for each line that isn't blank: id, line (its number from 0), leaf, a, b (its digest), n.
+
+    shared: a filter of leaves; only their lines are returned then, with their tokens.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value if shared is not None else None
         for batch in batches:
             for first in range(0, batch.num_rows, 512):
-                ids, numbers, leaves, digests, sizes, tokens = [], [], [], [], [], []
                 part = batch.slice(first, 512)
+                rows, numbers, leaves, digests, sizes, tokens = [], [], [], [], [], []
                 for row, text in enumerate(part.column(1)):
                     for number, line in enumerate((text.as_py() or "").split("\n")):
-                        words = _DIGIT.sub(VARIABLE, line).split()
+                        words = _words(line)
                         if not words:
                             continue
-                        ids.append(row)
+                        leaf = _leaf(words, depth)
+                        if bits is not None:
+                            slot = leaf & ((1 << FILTER_BITS) - 1)
+                            if not bits[slot >> 3] >> (slot & 7) & 1:
+                                continue
+                            tokens.append(words)
+                        rows.append(row)
                         numbers.append(number)
-                        leaves.append(xxhash.xxh3_64_intdigest(f"{len(words)} {' '.join(words[:depth])}"))
+                        leaves.append(leaf)
                         digests.append(xxhash.xxh3_128_digest(" ".join(words)))
                         sizes.append(len(words))
-                        if with_tokens:
-                            tokens.append(words)
-                halves = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
-                columns = [part.column(0).take(pa.array(ids, pa.int64())), pa.array(numbers, pa.int32()), pa.array(np.array(leaves, dtype=np.uint64).view(np.int64)), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(sizes, pa.int32())]
-                names = ["id", "line", "leaf", "a", "b", "n"]
-                if with_tokens:
+                columns, names = _batch(part.column(0), rows, numbers, leaves, digests, sizes)
+                if bits is not None:
                     columns, names = [*columns, pa.array(tokens, pa.list_(pa.string()))], [*names, "tokens"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
+def _filter_of(leaves: DataFrame):
+    """The leaves as a broadcast filter of 2 ** FILTER_BITS bits, whatever their number.
+
+    A full filter lets more lines through, which the exact join drops.
+    """
+    slot = F.col("leaf").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    words = leaves.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(s & 63 AS INT))")).alias("m")).toArrow()
+    table = np.zeros(1 << (FILTER_BITS - 6), dtype="<u8")
+    table[words["w"].to_numpy()] = words["m"].to_numpy().view(np.uint64)
+    return leaves.sparkSession.sparkContext.broadcast(table.tobytes())
+
+
 def recurring_lines(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, similarity: float = SIMILARITY, min_docs: int = 2, short_tokens: int = 8, short_docs: int = 3
 ) -> DataFrame:
@@ -72,11 +108,11 @@ def recurring_lines(
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))).alias("id"), F.col(text_col).alias("text"))
     schema = "id bigint, line int, leaf bigint, a bigint, b bigint, n int"
-    lines = materialize(rows.mapInArrow(_lines(depth, False), schema), "lines")
+    lines = materialize(rows.mapInArrow(_lines(depth), schema), "lines")
     span = [F.min("id").alias("low"), F.max("id").alias("high")]
-    leaves = lines.groupBy("leaf").agg(*span).where("low < high").select("leaf")
+    leaves = materialize(lines.groupBy("leaf").agg(*span).where("low < high").select("leaf"), "leaves")
 
-    again = rows.mapInArrow(_lines(depth, True), schema + ", tokens array<string>").join(leaves, "leaf", "left_semi")
+    again = rows.mapInArrow(_lines(depth, _filter_of(leaves)), schema + ", tokens array<string>").join(leaves, "leaf", "left_semi")
     distinct = again.groupBy("leaf", "a", "b").agg(*span, F.first("tokens").alias("tokens"))
     distinct = materialize(distinct, "distinct-lines")
     exploded = distinct.select("leaf", "a", "b", "low", "high", F.posexplode("tokens").alias("at", "token"))

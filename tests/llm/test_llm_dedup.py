@@ -181,3 +181,10 @@ def test_line_templates(spark):
     kept = {r.doc_id: r.text for r in tl.drop_lines(table(spark, docs), got).collect()}
     assert passage not in kept[0] and "reserved" not in kept[0] and kept[52] == "" and kept[53] == docs[-1][1] and kept[50] is None
     assert tl.line_report(table(spark, docs).where("false")).count() == 0
+
+
+def test_a_full_leaf_filter_changes_nothing(spark, monkeypatch):
+    docs = [(k, f"Job {k} is done by now\nall rights are reserved by us {k} for ever and ever\nalone {'x' * k} here") for k in range(6)]
+    monkeypatch.setattr(tl, "FILTER_BITS", 6)
+    got = tl.recurring_lines(table(spark, docs))
+    assert sorted((r.doc_id, r.line) for r in got.where("dropped").collect()) == templates(docs)
