@@ -1,14 +1,19 @@
 """Line dedup by a fixed-depth tree of log templates.
 
 A line goes down the tree by its number of tokens and its first ``depth``
-tokens, tokens with a digit being variable at once.  In a leaf, the token at a
-position is constant if lines of at least two documents have it there;
-other positions are variable fields.  A line whose constant tokens are at
-least ``similarity`` of all of them has a template, and the lines of templates
-that recur across documents are dropped.
+tokens, tokens with a digit being variable at once.  In a leaf, a line joins
+the template that it shares most tokens with, if they are at least
+``similarity`` of its tokens, and positions at which they differ become
+variable fields; else it starts a template.  A field is variable as soon as
+two values are seen, so that more rows never make its values constant: lines
+that share ``similarity`` of their tokens with all of each other end in one
+template at any size, if nothing else is in their leaf.  A line with fewer
+tokens without a digit than that has no template.  The lines of templates that
+recur across documents are dropped.
 
 Only lines of leaves that several documents reach are ever taken apart into
-tokens, each distinct one once, so that copies and a hot leaf cost counts.
+tokens, each distinct one once.  A leaf of many lines is dealt, by digest, to
+groups of about CHUNK_LINES; the groups' templates then meet in the same way.
 """
 
 from __future__ import annotations
@@ -27,6 +32,8 @@ DEPTH, SIMILARITY = 3, 0.5
 VARIABLE = "<*>"
 #: Size of the filter of leaves that several documents reach: 2 ** 26 bits are 8 MB.
 FILTER_BITS = 26
+#: Lines of a leaf, copies counted, for each group in which its lines meet first.
+CHUNK_LINES = 8192
 _DIGIT = re.compile(r"\d")
 
 
@@ -94,6 +101,67 @@ def _filter_of(leaves: DataFrame):
     return leaves.sparkSession.sparkContext.broadcast(table.tobytes())
 
 
+def _merged(lines: list[list[str]], similarity: float) -> list[str | None]:
+    """The template of each of a leaf's lines, which join the templates in the order given."""
+    need = similarity * len(lines[0])
+    codes: dict[str, int] = {VARIABLE: -1}
+    rows = np.array([[codes.setdefault(w, len(codes)) for w in line] for line in lines], dtype=np.int32)
+    enough = (rows >= 0).sum(axis=1) >= need
+    shapes, n, member = np.empty_like(rows), 0, np.full(len(rows), -1)
+    for k in np.flatnonzero(enough).tolist():
+        same = (shapes[:n] == rows[k]) & (rows[k] >= 0)
+        equal = same.sum(axis=1)
+        best = int(equal.argmax()) if n else 0
+        if n and equal[best] >= need:
+            shapes[best][~same[best]] = -1
+        else:
+            best, n = n, n + 1
+            shapes[best] = rows[k]
+        member[k] = best
+    names = list(codes)
+    texts = [" ".join(names[c] if c >= 0 else VARIABLE for c in shape) for shape in shapes[:n].tolist()]
+    return [texts[m] if m >= 0 else None for m in member.tolist()]
+
+
+def _meet(similarity: float):
+    """leaf, chunk, a, b, tokens, in the order of leaf and chunk -> leaf, chunk, a, b, template, without lines that have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("leaf", pa.int64()), ("chunk", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("template", pa.string())])
+        rows: list[tuple] = []
+        out: list[tuple] = []
+
+        def close() -> None:
+            found = _merged([r[4] for r in rows], similarity)
+            out.extend((*r[:4], text) for r, text in zip(rows, found) if text is not None)
+            rows.clear()
+
+        def taken() -> pa.RecordBatch:
+            columns = list(zip(*out)) if out else [[]] * len(schema)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
+
+        for batch in batches:
+            keys = zip(*(batch.column(k).to_pylist() for k in range(4)))
+            for key, tokens in zip(keys, batch.column(4)):
+                if rows and rows[0][:2] != key[:2]:
+                    close()
+                    if len(out) >= 4096:
+                        yield taken()
+                rows.append((*key, tokens.as_py()))
+        if rows:
+            close()
+        yield taken()
+
+    return run
+
+
+def _templates(distinct: DataFrame, similarity: float) -> DataFrame:
+    """distinct (leaf, chunk, a, b, tokens) -> leaf, chunk, a, b, template, a template for each leaf and chunk's similar lines."""
+    met = distinct.select("leaf", "chunk", "a", "b", "tokens").repartition("leaf", "chunk").sortWithinPartitions("leaf", "chunk", "a", "b")
+    return met.mapInArrow(_meet(similarity), "leaf bigint, chunk bigint, a bigint, b bigint, template string")
+
+
 def recurring_lines(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, similarity: float = SIMILARITY, min_docs: int = 2, short_tokens: int = 8, short_docs: int = 3
 ) -> DataFrame:
@@ -110,17 +178,18 @@ def recurring_lines(
     schema = "id bigint, line int, leaf bigint, a bigint, b bigint, n int"
     lines = materialize(rows.mapInArrow(_lines(depth), schema), "lines")
     span = [F.min("id").alias("low"), F.max("id").alias("high")]
-    leaves = materialize(lines.groupBy("leaf").agg(*span).where("low < high").select("leaf"), "leaves")
-
-    again = rows.mapInArrow(_lines(depth, _filter_of(leaves)), schema + ", tokens array<string>").join(leaves, "leaf", "left_semi")
-    distinct = again.groupBy("leaf", "a", "b").agg(*span, F.first("tokens").alias("tokens"))
-    distinct = materialize(distinct, "distinct-lines")
-    exploded = distinct.select("leaf", "a", "b", "low", "high", F.posexplode("tokens").alias("at", "token"))
-    constant = exploded.where(F.col("token") != VARIABLE).groupBy("leaf", "at", "token").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("leaf", "at", "token", F.lit(True).alias("kept"))
-    marked = exploded.join(constant, ["leaf", "at", "token"], "left")
-    fields = F.array_sort(F.collect_list(F.struct("at", F.when(F.col("kept"), F.col("token")).otherwise(VARIABLE).alias("token"))))
-    shaped = marked.groupBy("leaf", "a", "b").agg(fields.alias("fields"), F.count("kept").alias("constants"))
-    shaped = shaped.where(F.col("constants") >= similarity * F.size("fields")).select("a", "b", F.array_join(F.col("fields.token"), " ").alias("template"))
+    chunks = F.ceil(F.count("*") / CHUNK_LINES).alias("chunks")
+    leaves = materialize(lines.groupBy("leaf").agg(*span, chunks).where("low < high").select("leaf", "chunks"), "leaves")
+
+    again = rows.mapInArrow(_lines(depth, _filter_of(leaves)), schema + ", tokens array<string>").join(leaves, "leaf")
+    distinct = again.groupBy("leaf", "chunks", "a", "b").agg(F.first("tokens").alias("tokens")).withColumn("chunk", F.when(F.col("chunks") > 1, F.pmod("a", "chunks")).otherwise(-1))
+    shaped = materialize(_templates(distinct, similarity), "templates")
+    # the templates of a leaf's chunks, by their own digests
+    many = shaped.where("chunk >= 0").withColumns({"c": F.xxhash64("template"), "d": F.xxhash64("template", F.lit(1))})
+    parts = many.select("leaf", F.lit(-1).cast("bigint").alias("chunk"), F.col("c").alias("a"), F.col("d").alias("b"), F.split("template", " ").alias("tokens")).dropDuplicates(["leaf", "a", "b"])
+    wide = _templates(parts, similarity).select("leaf", F.col("a").alias("c"), F.col("b").alias("d"), F.col("template").alias("wide"))
+    joined = many.join(wide, ["leaf", "c", "d"]).select("a", "b", F.col("wide").alias("template"))
+    shaped = shaped.where("chunk < 0").select("a", "b", "template").unionAll(joined)
 
     found = lines.join(shaped, ["a", "b"], "left").select("id", "line", "n", "template")
     found = materialize(found, "templated-lines")

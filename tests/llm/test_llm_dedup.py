@@ -188,3 +188,17 @@ def test_a_full_leaf_filter_changes_nothing(spark, monkeypatch):
     monkeypatch.setattr(tl, "FILTER_BITS", 6)
     got = tl.recurring_lines(table(spark, docs))
     assert sorted((r.doc_id, r.line) for r in got.where("dropped").collect()) == templates(docs)
+
+
+@pytest.mark.parametrize("chunk", [8192, 16])
+def test_a_template_of_few_rows_is_one_of_many(spark, monkeypatch, chunk):
+    monkeypatch.setattr(tl, "CHUNK_LINES", chunk, raising=False)
+    rng = random.Random(9)
+    names = [f"{a}{b}" for a in "bdfgklmnpr" for b in ("an", "el", "io", "um")]
+    pick = lambda: rng.choice(names)
+    for n in (20, 200, 2000):
+        docs = [(k, f"Thank you for reading this report by {pick()} of {pick()} bureau in {pick()} with all rights reserved") for k in range(n)]
+        alone = "Thank you for " + " ".join(f"w{chr(97 + k)}" for k in range(14))  # same leaf, nothing else in common
+        got = tl.line_report(table(spark, [*docs, (n, alone)])).collect()
+        assert sorted(r.doc_id for r in got if not r.n_dropped) == [n]
+        assert {r.template for r in tl.recurring_lines(table(spark, docs)).select("template").distinct().collect()} == {"Thank you for reading this report by <*> of <*> bureau in <*> with all rights reserved"}
