@@ -11,6 +11,12 @@ template at any size, if nothing else is in their leaf.  A line with fewer
 tokens without a digit than that has no template.  The lines of templates that
 recur across documents are dropped.
 
+Lines of PASSAGE_WORDS tokens or more are also cut into segments, which go down
+the same tree: at the ends of sentences and, in sentences of more than
+LONG_SENTENCE tokens, after tokens that a hash of their own picks or that are
+repeated, so that a passage is cut alike wherever it stands.  Where successive segments recur and
+have PASSAGE_WORDS tokens together, they go from a line that stays.
+
 Only lines of leaves that several documents reach are ever taken apart into
 tokens, each distinct one once.  A leaf of many lines is dealt, by digest, to
 groups of about CHUNK_LINES; the groups' templates then meet in the same way.
@@ -24,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .workspace import materialize
 
@@ -34,57 +40,101 @@ VARIABLE = "<*>"
 FILTER_BITS = 26
 #: Lines of a leaf, copies counted, for each group in which its lines meet first.
 CHUNK_LINES = 8192
+#: Tokens of successive recurring segments that make a passage.
+PASSAGE_WORDS = 24
+#: Longer sentences are cut by content: after one token in 8 and repeated tokens, SEGMENT_WORDS to LONG_SENTENCE apart.
+LONG_SENTENCE, SEGMENT_WORDS = 32, 8
+_ENDS, _CLOSERS = frozenset(".!?…"), "\"')]}»”’"
 _DIGIT = re.compile(r"\d")
 
 
-def _words(line: str) -> list[str]:
-    """The tokens of a line, those with a digit as variable."""
-    words = line.split()
-    return [VARIABLE if _DIGIT.search(w) else w for w in words] if _DIGIT.search(line) else words
+def _words(line: str) -> tuple[list[str], list[str]]:
+    """The tokens of a line, and the same with those with a digit as variable."""
+    raw = line.split()
+    return raw, [VARIABLE if _DIGIT.search(w) else w for w in raw] if _DIGIT.search(line) else raw
+
+
+def _edges(raw: list[str]) -> list[int]:
+    """Where the segments of a line begin, and the line's end."""
+    ends = [k for k, w in enumerate(raw, 1) if w[-1] in _ENDS or (w[-1] in _CLOSERS and w.rstrip(_CLOSERS)[-1:] in _ENDS)]
+    if not ends or ends[-1] != len(raw):
+        ends.append(len(raw))
+    edges = [0]
+    for end in ends:
+        if end - edges[-1] > LONG_SENTENCE:
+            for k in range(edges[-1] + 1, end):
+                n = k - edges[-1]
+                if n == LONG_SENTENCE or (n >= SEGMENT_WORDS and (raw[k - 1] == raw[k - 2] or (not _DIGIT.search(raw[k - 1]) and xxhash.xxh3_64_intdigest(raw[k - 1]) & 7 == 0))):
+                    edges.append(k)
+        edges.append(end)
+    return edges
 
 
 def _leaf(words: list[str], depth: int) -> int:
     return xxhash.xxh3_64_intdigest(f"{len(words)} {' '.join(words[:depth])}")
 
 
-def _batch(ids: pa.Array, rows: list, numbers: list, leaves: list, digests: list, sizes: list) -> tuple[list, list]:
-    halves = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
-    columns = [ids.take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), pa.array(np.array(leaves, dtype=np.uint64).view(np.int64)), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(sizes, pa.int32())]
-    return columns, ["id", "line", "leaf", "a", "b", "n"]
+_UNITS = "id bigint, line int, part int, first int, row bigint, leaf bigint, a bigint, b bigint, n int"
+
+
+def _batch(ids: pa.Array, units: list[tuple], leaves: list, tokens: list | None) -> pa.RecordBatch:
+    rows, lines, parts, firsts, whole, digests, sizes = zip(*units) if units else [()] * 7
+    ints = lambda x: pa.array(x, pa.int32())
+    longs = lambda x, k: pa.array([int.from_bytes(d[k : k + 8], "little", signed=True) if d else None for d in x], pa.int64())
+    columns = [ids.take(pa.array(rows, pa.int64())), ints(lines), ints(parts), ints(firsts), longs(whole, 0), pa.array(np.array(leaves, dtype=np.uint64).view(np.int64)), longs(digests, 0), longs(digests, 8), ints(sizes)]
+    names = _UNITS.replace(",", "").split()[::2]
+    return pa.RecordBatch.from_arrays(columns if tokens is None else [*columns, pa.array(tokens, pa.list_(pa.string()))], names=names if tokens is None else [*names, "tokens"])
 
 
-def _lines(depth: int, shared=None):
-    """A row for each line that isn't blank: id, line (its number from 0), leaf, a, b (its digest), n.
+def _lines(depth: int, passage_words: int, shared=None):
+    """A row for each line that isn't blank and each segment of a longer one.
 
-    shared: a filter of leaves; only their lines are returned then, with their tokens.
+    id, line (its number from 0), part (0 for the line, from 1 for segments),
+    first (its first token), row (a digest of the line), leaf, a, b (its own
+    digest), n; of segments id, part and leaf only.  shared: a filter of
+    leaves; then only what is in them, with all columns and the tokens, and
+    segments only where successive ones in them can make a passage.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value if shared is not None else None
+
+        def known(leaf: int) -> int:
+            slot = leaf & ((1 << FILTER_BITS) - 1)
+            return bits[slot >> 3] >> (slot & 7) & 1
+
         for batch in batches:
-            for first in range(0, batch.num_rows, 512):
-                part = batch.slice(first, 512)
-                rows, numbers, leaves, digests, sizes, tokens = [], [], [], [], [], []
-                for row, text in enumerate(part.column(1)):
+            for start in range(0, batch.num_rows, 512):
+                slice_ = batch.slice(start, 512)
+                units, leaves, tokens = [], [], []
+                for row, text in enumerate(slice_.column(1)):
                     for number, line in enumerate((text.as_py() or "").split("\n")):
-                        words = _words(line)
+                        raw, words = _words(line)
                         if not words:
                             continue
-                        leaf = _leaf(words, depth)
-                        if bits is not None:
-                            slot = leaf & ((1 << FILTER_BITS) - 1)
-                            if not bits[slot >> 3] >> (slot & 7) & 1:
-                                continue
-                            tokens.append(words)
-                        rows.append(row)
-                        numbers.append(number)
-                        leaves.append(leaf)
-                        digests.append(xxhash.xxh3_128_digest(" ".join(words)))
-                        sizes.append(len(words))
-                columns, names = _batch(part.column(0), rows, numbers, leaves, digests, sizes)
-                if bits is not None:
-                    columns, names = [*columns, pa.array(tokens, pa.list_(pa.string()))], [*names, "tokens"]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                        edges = _edges(raw) if len(raw) >= passage_words else []
+                        inside = [(part, first, words[first:end]) for part, (first, end) in enumerate(zip(edges, edges[1:]), 1)] if len(edges) > 2 else []
+                        found = [(0, 0, words, _leaf(words, depth)), *((*x, _leaf(x[2], depth)) for x in inside)]
+                        if bits is None:
+                            digest = xxhash.xxh3_128_digest(" ".join(words))
+                            units.append((row, number, 0, 0, digest, digest, len(words)))
+                            units.extend((row, None, part, None, None, None, None) for part, _, _, _ in found[1:])
+                            leaves.extend(x[3] for x in found)
+                            continue
+                        taken, near = [x for x in found[:1] if known(x[3])], []
+                        for x in [*found[1:], None]:
+                            if x is not None and known(x[3]):
+                                near.append(x)
+                            else:
+                                if sum(len(y[2]) for y in near) >= passage_words:
+                                    taken.extend(near)
+                                near = []
+                        whole = xxhash.xxh3_128_digest(" ".join(words)) if taken else b""
+                        for part, first, own, leaf in taken:
+                            units.append((row, number, part, first, whole, xxhash.xxh3_128_digest(" ".join(own)), len(own)))
+                            leaves.append(leaf)
+                            tokens.append(own)
+                yield _batch(slice_.column(0), units, leaves, None if bits is None else tokens)
 
     return run
 
@@ -163,26 +213,32 @@ def _templates(distinct: DataFrame, similarity: float) -> DataFrame:
 
 
 def recurring_lines(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, similarity: float = SIMILARITY, min_docs: int = 2, short_tokens: int = 8, short_docs: int = 3
-) -> DataFrame:
-    """One row per line that isn't blank: id, line (number from 0), n (tokens), template, dropped.
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, similarity: float = SIMILARITY, min_docs: int = 2, short_tokens: int = 8, short_docs: int = 3,
+    passage_words: int = PASSAGE_WORDS,
+) -> DataFrame:
+    """One row per line that isn't blank: id, line (number from 0), n (tokens), template, dropped, passages.
 
     Lines are split at ``\\n``, tokens at white space.  template is null for a
     line without one.  dropped: its template occurs in at least ``min_docs``
     documents, ``short_docs`` where it has fewer than ``short_tokens`` tokens,
     since short lines coincide.  All lines of such a template are dropped.
+    passages: the recurring passages of a line that isn't dropped, each as its
+    first token (from 0) and the one after its last; null if there is none.
+    They are runs of segments of longer lines with ``passage_words`` tokens or more, each of
+    which recurs in ``min_docs`` documents, word for word if it is short.
     Null and empty texts have no lines.  Rows that share an id are one
     document; a null id counts as one document.  Other columns play no part.
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))).alias("id"), F.col(text_col).alias("text"))
-    schema = "id bigint, line int, leaf bigint, a bigint, b bigint, n int"
-    lines = materialize(rows.mapInArrow(_lines(depth), schema), "lines")
+    units = materialize(rows.mapInArrow(_lines(depth, passage_words), _UNITS), "lines", "zstd")
+    lines = units.where("part = 0").select("id", "line", "row", "n")
     span = [F.min("id").alias("low"), F.max("id").alias("high")]
     chunks = F.ceil(F.count("*") / CHUNK_LINES).alias("chunks")
-    leaves = materialize(lines.groupBy("leaf").agg(*span, chunks).where("low < high").select("leaf", "chunks"), "leaves")
+    leaves = materialize(units.groupBy("leaf").agg(*span, chunks).where("low < high").select("leaf", "chunks"), "leaves")
 
-    again = rows.mapInArrow(_lines(depth, _filter_of(leaves)), schema + ", tokens array<string>").join(leaves, "leaf")
-    distinct = again.groupBy("leaf", "chunks", "a", "b").agg(F.first("tokens").alias("tokens")).withColumn("chunk", F.when(F.col("chunks") > 1, F.pmod("a", "chunks")).otherwise(-1))
+    again = rows.mapInArrow(_lines(depth, passage_words, _filter_of(leaves)), _UNITS + ", tokens array<string>")
+    again = materialize(again, "candidates", "zstd")
+    distinct = again.select("leaf", "a", "b", "tokens").groupBy("leaf", "a", "b").agg(F.first("tokens").alias("tokens")).join(leaves, "leaf").withColumn("chunk", F.when(F.col("chunks") > 1, F.pmod("a", "chunks")).otherwise(-1))
     shaped = materialize(_templates(distinct, similarity), "templates")
     # the templates of a leaf's chunks, by their own digests
     many = shaped.where("chunk >= 0").withColumns({"c": F.xxhash64("template"), "d": F.xxhash64("template", F.lit(1))})
@@ -191,32 +247,83 @@ def recurring_lines(
     joined = many.join(wide, ["leaf", "c", "d"]).select("a", "b", F.col("wide").alias("template"))
     shaped = shaped.where("chunk < 0").select("a", "b", "template").unionAll(joined)
 
-    found = lines.join(shaped, ["a", "b"], "left").select("id", "line", "n", "template")
-    found = materialize(found, "templated-lines")
-    support = found.where("template IS NOT NULL").groupBy("template").agg(F.count_distinct("id").alias("docs"), F.max("n").alias("size"))
-    often = support.where((F.col("docs") >= min_docs) & ((F.col("size") >= short_tokens) | (F.col("docs") >= short_docs)))
-    out = found.join(often.select("template", F.lit(True).alias("often")), "template", "left")
+    found = again.drop("leaf", "tokens").join(shaped, ["a", "b"])
+    found = materialize(found, "templated-lines", "zstd")
+    # a short segment is known by its digest, since short ones have templates in common with much else
+    name = F.when((F.col("part") > 0) & (F.col("n") < short_tokens), F.concat_ws(" ", "a", "b")).otherwise(F.col("template"))
+    named = found.select("*", name.alias("name"))
+    own = found.where(f"n < {short_tokens}").select(F.concat_ws(" ", "a", "b").alias("name"), "id", "n")
+    support = named.where(f"part = 0 OR n >= {short_tokens}").select("name", "id", "n").unionAll(own)
+    support = support.groupBy("name").agg(F.count_distinct("id").alias("docs"), F.max("n").alias("size")).where(F.col("docs") >= min_docs)
+    support = support.select("name", F.lit(True).alias("twice"), ((F.col("size") >= short_tokens) | (F.col("docs") >= short_docs)).alias("often"))
+    known = named.join(support, "name")
+    gone = known.where("part = 0 AND often").select("id", "line", "row").distinct()
+    hits = known.where("part > 0").select("id", "line", "row", "part", "first", "n").dropDuplicates(["id", "line", "row", "part"])
+    island = F.col("part") - F.row_number().over(Window.partitionBy("id", "line", "row").orderBy("part"))
+    runs = hits.withColumn("island", island).groupBy("id", "line", "row", "island").agg(F.min("first").alias("first"), F.sum("n").cast("int").alias("n"))
+    runs = runs.where(F.col("n") >= passage_words).groupBy("id", "line", "row").agg(F.array_sort(F.collect_list(F.struct("first", (F.col("first") + F.col("n")).alias("end")))).alias("passages"))
+    shapes = found.where("part = 0").select("id", "line", "row", "template").distinct()
+    marks = shapes.join(gone.withColumn("often", F.lit(True)), ["id", "line", "row"], "left").join(runs, ["id", "line", "row"], "full")
+    out = lines.join(marks, ["id", "line", "row"], "left")
     key = F.when(F.col("id") != -(1 << 63), F.col("id")).alias(id_col)
-    return out.select(key, "line", "n", "template", F.coalesce("often", F.lit(False)).alias("dropped"))
+    return out.select(key, "line", "n", "template", F.coalesce("often", F.lit(False)).alias("dropped"), F.when(F.col("often").isNull(), F.col("passages")).alias("passages"))
 
 
 def line_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row per document: id, n_lines, n_dropped, n_words_dropped, dropped_lines (their numbers in order, comma-joined)."""
+    """One row per document: id, n_lines, n_dropped, n_words_dropped, dropped_lines, n_passages, dropped_passages.
+
+    dropped_lines: their numbers in order, comma-joined.  dropped_passages, of
+    lines that stay: line:first-end in order of the line and its tokens,
+    comma-joined.  n_words_dropped counts both.
+    """
     lines = recurring_lines(docs, id_col=id_col, text_col=text_col, **options)
     gone = F.col("dropped")
+    inside = F.aggregate("passages", F.lit(0), lambda s, p: s + p["end"] - p["first"])
+    placed = F.transform("passages", lambda p: F.struct(F.col("line").alias("line"), p["first"].alias("first"), p["end"].alias("end")))
+    shown = lambda p: F.concat(p["line"].cast("string"), F.lit(":"), p["first"].cast("string"), F.lit("-"), p["end"].cast("string"))
     each = lines.groupBy(F.col(id_col).alias("k")).agg(
-        F.count("*").alias("n_lines"), F.count_if(gone).alias("n_dropped"), F.coalesce(F.sum(F.when(gone, F.col("n"))), F.lit(0)).cast("bigint").alias("n_words_dropped"),
-        F.array_join(F.array_sort(F.collect_set(F.when(gone, F.col("line")))).cast("array<string>"), ",").alias("dropped_lines"),
+        F.count("*").alias("n_lines"), F.count_if(gone).alias("n_dropped"), F.coalesce(F.sum(F.when(gone, F.col("n")).otherwise(inside)), F.lit(0)).cast("bigint").alias("n_words_dropped"),
+        F.array_join(F.array_sort(F.collect_set(F.when(gone, F.col("line")))).cast("array<string>"), ",").alias("dropped_lines"), F.sum(F.size(F.coalesce("passages", F.array()))).alias("n_passages"),
+        F.array_join(F.transform(F.array_sort(F.flatten(F.collect_list(placed))), shown), ",").alias("dropped_passages"),
     )
     out = docs.select(F.col(id_col).cast("bigint").alias(id_col)).join(each, F.col(id_col).eqNullSafe(F.col("k")), "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
-    return out.select(id_col, zero("n_lines"), zero("n_dropped"), zero("n_words_dropped"), F.coalesce("dropped_lines", F.lit("")).alias("dropped_lines"))
+    empty = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return out.select(id_col, zero("n_lines"), zero("n_dropped"), zero("n_words_dropped"), empty("dropped_lines"), zero("n_passages"), empty("dropped_passages"))
+
+
+def _starts(line: str) -> list[int]:
+    """Where the tokens of a line start, as str.split has them, and the line's end."""
+    at, found = 0, []
+    for word in line.split():
+        at = line.index(word, at)
+        found.append(at)
+        at += len(word)
+    return [*found, len(line)]
+
+
+def _without(text: str | None, gone: list | None, passages: list | None) -> str | None:
+    if text is None:
+        return None
+    dropped, inside, kept = set(gone or ()), {}, []
+    for p in passages or ():
+        inside.setdefault(p["line"], []).append((p["first"], p["end"]))
+    for number, line in enumerate(text.split("\n")):
+        if number in dropped:
+            continue
+        if number in inside:
+            at = _starts(line)
+            for first, end in sorted(inside[number], reverse=True):
+                line = line[: at[first]] + line[at[end] :]
+        kept.append(line)
+    return "\n".join(kept)
 
 
 def drop_lines(docs: DataFrame, lines: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the texts less their dropped lines."""
-    gone = lines.where("dropped").groupBy(F.col(id_col).alias("_k")).agg(F.collect_set("line").alias("_gone"))
+    """``docs`` with the texts less their dropped lines and passages."""
+    placed = F.transform("passages", lambda p: F.struct(F.col("line").alias("line"), p["first"].alias("first"), p["end"].alias("end")))
+    gone = lines.where("dropped OR passages IS NOT NULL").groupBy(F.col(id_col).alias("_k"))
+    gone = gone.agg(F.collect_set(F.when(F.col("dropped"), F.col("line"))).alias("_gone"), F.flatten(F.collect_list(placed)).alias("_passages"))
     out = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_k")), "left")
-    kept = F.filter(F.split(text_col, "\n"), lambda line, at: ~F.array_contains("_gone", at))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    text = F.when(F.col("_k").isNull() & F.col("_gone").isNull(), F.col(text_col)).otherwise(F.udf(_without, "string", useArrow=False)(text_col, "_gone", "_passages"))
     return out.withColumn(text_col, text).select(*docs.columns)

@@ -202,3 +202,22 @@ def test_a_template_of_few_rows_is_one_of_many(spark, monkeypatch, chunk):
         got = tl.line_report(table(spark, [*docs, (n, alone)])).collect()
         assert sorted(r.doc_id for r in got if not r.n_dropped) == [n]
         assert {r.template for r in tl.recurring_lines(table(spark, docs)).select("template").distinct().collect()} == {"Thank you for reading this report by <*> of <*> bureau in <*> with all rights reserved"}
+
+
+def test_passages_inside_longer_lines(spark):
+    rng = random.Random(3)
+    prose = lambda n: " ".join("".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(n))
+    sentences = lambda *sizes: " ".join(prose(n).capitalize() + "." for n in sizes)
+    passage, run = sentences(14, 5, 20, 16), prose(300)  # a run without an end of sentence is cut by content
+    docs = [(k, f"{sentences(9, 12, 30)} {passage} {sentences(11, 8 + k)}\n{sentences(10)}") for k in range(3)]
+    docs += [(10 + k, f"{prose(20 + 7 * k)} {run} {prose(30)}") for k in range(2)] + [(20, sentences(12, 13, 14, 15)), (21, passage)]
+    got = tl.recurring_lines(table(spark, docs))
+    report = {r.doc_id: r for r in tl.line_report(table(spark, docs)).collect()}
+    kept = {r.doc_id: r.text for r in tl.drop_lines(table(spark, docs), got).collect()}
+    for k, text in docs[:3]:
+        assert kept[k] == text.replace(passage + " ", "") and report[k].n_dropped == 0 and report[k].n_passages == 1
+        assert report[k].dropped_passages == "0:51-106" and report[k].n_words_dropped == 55
+    for k in (10, 11):
+        assert report[k].n_dropped == 0 and 300 - 2 * 64 <= report[k].n_words_dropped <= 300
+        assert all(w in run for w in set(dict(docs)[k].split()) - set(kept[k].split()))
+    assert kept[20] == docs[-2][1] and report[20].n_passages == 0 and kept[21] == "" and report[21].n_passages == 1
