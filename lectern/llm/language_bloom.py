@@ -191,6 +191,23 @@ def identify(docs: DataFrame, model: LanguageFilter, *, id_col: str = "doc_id",
     return out.select(*[F.col(f"k{k}").alias(c) for k, c in enumerate(names)], "lang_pred", "score", "coverage")
 
 
+def thresholds(labelled: DataFrame, model: LanguageFilter, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 1000, quantile: float = 0.01, share: float = 0.5) -> dict[str, float]:
+    """The coverage that a text of each language needs: ``share`` of a low quantile of labelled rows' coverage.
+
+    labelled: rows that the model hasn't learnt from; about ``sample`` of each
+    language are read, and those that are identified as labelled count.
+    """
+    rows = labelled.where(F.col(lang_col).isin(model.languages) & F.col(text_col).isNotNull())
+    sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}  # a row for each language
+    if not sizes:
+        return {}
+    limit = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, sample / n) * (1 << 30))])
+    rows = rows.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(12)), F.lit(1 << 30)) < limit[F.col(lang_col)])
+    own = rows.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("label"))
+    right = identify(own, model, keep=("label",)).where("lang_pred = label")
+    return {r[0]: share * r[1] for r in right.groupBy("label").agg(F.percentile_approx("coverage", quantile, 10000)).collect()}
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """The rows that no model learns from: crc32 of the id as text leaves 1 when divided by 3."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -396,3 +396,12 @@ def test_pipeline(spark):
     out = corpus_pipeline.token_id_output(spark, mixed, folder)
     assert out.count() == mixed.count()
     assert corpus_pipeline.run(spark, folder).count() == mixed.count()
+
+
+def test_pipeline_rejects_unlearned_languages(spark):
+    import corpus_pipeline
+
+    rows = language_rows(300) + [(1000, "questa mattina siamo andati al mercato per comprare frutta fresca", None), (1001, "vanochtend zijn we naar de markt gegaan om vers fruit te kopen", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"source": F.lit("s"), "n_chars": F.length("text").cast("bigint")})
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()}
+    assert kept == set(range(300))
