@@ -46,7 +46,7 @@ def op4_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bit_plane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_documents(write_shards(_table(spark, sf_dir, "documents"), tokenizer_files.path("word_bpe_49k.json"), end_id=2))
+    return read_documents(spark, write_shards(_table(spark, sf_dir, "documents"), tokenizer_files.path("word_bpe_49k.json"), end_id=2))
 
 
 def op6_html_graph(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,9 +23,10 @@ import numpy as np
 
 from .textbytes import blocks, hash_spans, starts_of_texts
 
-#: Entries of each of a worker's two generations of cached units: a full one becomes the old one, from which
-#: units in use come back. It bounds memory and changes no result.
-CACHE_UNITS = 500_000
+#: Entries of each of a worker's two generations of cached units, and ids of a unit that is cached: a full
+#: generation becomes the old one, from which units in use come back. An entry takes some 180 bytes and four for
+#: each id, so a worker's cache stays under 100 MB whatever the texts; that changes no result.
+CACHE_UNITS, CACHED_IDS = 1 << 17, 48
 
 _CLASS = np.full(256, 3, dtype=np.uint8)  # 0 white space, 1 letter, 2 digit, 3 other
 _CLASS[[32, *range(9, 14)]] = 0
@@ -154,7 +155,9 @@ class UnitEncoder:
             raw = data.tobytes()
             spans = zip(starts[at[missing]].tolist(), ends[at[missing]].tolist())
             for k, ids in zip(missing, self.encode([raw[a:b].decode() for a, b in spans])):
-                got[k] = self.cache[names[k]] = np.array(ids, dtype="<u4").tobytes()
+                got[k] = np.array(ids, dtype="<u4").tobytes()
+                if len(ids) <= CACHED_IDS:
+                    self.cache[names[k]] = got[k]
         return got, place
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

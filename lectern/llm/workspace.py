@@ -2,12 +2,14 @@
 
 Intermediate tables cut lineage: they are Parquet under the folder that the
 session names in ``spark.checkpoint.dir``.  A machine-local folder is made only
-where the setting is absent, which is the case in tests and notebooks.
+where the setting is absent and driver and executors are one process, which is
+the case in tests and notebooks; a cluster without the setting raises.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -16,11 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
 #: Bytes of one Arrow batch, so that long rows can't fill a Python worker.
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Hold the session's Arrow batches to BATCH_BYTES; queries and stages call it first."""
+    """Hold the session's Arrow batches to BATCH_BYTES; queries and stages call it first.
+
+    The setting stays, since their plans run after they return.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
@@ -28,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all machines see, without a trailing slash."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _LOCAL:
             _LOCAL["dir"] = tempfile.mkdtemp(prefix="lectern-")
             atexit.register(shutil.rmtree, _LOCAL["dir"], ignore_errors=True)

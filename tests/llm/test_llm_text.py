@@ -86,29 +86,49 @@ def test_counts_and_cache(spark, tmp_path):
 def test_shard_round_trip(docs, kind, block):
     lengths = np.array([len(d) for d in docs], dtype=np.int64)
     ids = np.array([x for d in docs for x in d], dtype="<u4")
-    image = bitplanes.encode_shard(np.arange(len(docs)), lengths, ids, kind, block)
-    a, b, c = bitplanes.decode_shard(image)
-    assert a.tolist() == list(range(len(docs))) and b.tolist() == lengths.tolist() and c.tolist() == ids.tolist()
-    with pytest.raises(ValueError):
-        bitplanes.decode_shard(b"none" + image[4:])
+    file = bitplanes.encode_shard(bitplanes.Shard(3, 4, 5, np.arange(len(docs)), lengths, ids), kind, block)
+    got = bitplanes.decode_shard(file)
+    assert (got.part, got.seq, got.before) == (3, 4, 5)
+    assert got.doc_ids.tolist() == list(range(len(docs))) and got.lengths.tolist() == lengths.tolist() and got.ids.tolist() == ids.tolist()
+    for bad in (b"none" + file[4:], file[:-1], file[:-1] + b" "):
+        with pytest.raises(ValueError):
+            bitplanes.decode_shard(bad)
 
 
 @pytest.mark.parametrize("planes", ["bit", "byte"])
 def test_shards_of_documents(spark, tmp_path, planes, monkeypatch):
-    shards = bitplanes.write_shards(documents(spark), WORD, 2, planes=planes)
-    got = sorted(map(tuple, bitplanes.read_documents(shards).collect()), key=lambda r: r[1])
-    rows = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    folder = bitplanes.write_shards(documents(spark), WORD, 2, folder=str(tmp_path / "shards"), planes=planes)
+    got = sorted(map(tuple, bitplanes.read_documents(spark, folder).collect()), key=lambda r: r[1])
+    tie = {r.text: r.h for r in documents(spark).select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    rows = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, tie[r[1]], r[1] or ""))
     at, expected, every = 0, [], []
     for (name, _), ids in zip(rows, tokenizing.encoder(WORD).encode([t or "" for _, t in rows])):
         own = np.array([*ids, 2], dtype="<u4")
         expected.append((name, at, len(own), zlib.crc32(own.tobytes())))
         at, every = at + len(own), [*every, *own.tolist()]
     assert got == expected
-    assert [x for part in bitplanes.read_ids(shards) for x in part.tolist()] == every
-    bitplanes.export(shards, str(tmp_path))
-    files = sorted(tmp_path.glob("*.ltbp"))
-    assert [x for f in files for x in bitplanes.decode_shard(f.read_bytes())[2].tolist()] == every
-    assert bitplanes.read_documents(bitplanes.write_shards(documents(spark).where("false"), WORD, 2)).count() == 0
+    assert [x for part in bitplanes.read_ids(spark, folder) for x in part.tolist()] == every
+    files = [f.read_bytes() for f in (tmp_path / "shards").glob("part-*")]
+    assert sum(len(bitplanes.decode_shard(f).ids) for f in files if f) == len(every)
+    assert bitplanes.read_documents(spark, bitplanes.write_shards(documents(spark).where("false"), WORD, 2)).count() == 0
+
+
+def test_shards_in_several_files(spark, tmp_path):
+    """Any bytes come back from the text writer, one file for each shard."""
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(k, "".join(rng.choice(MARKS) for _ in range(200))) for k in range(300)], "doc_id long, text string").repartition(3)
+    folder = bitplanes.write_shards(docs, WORD, 2, folder=str(tmp_path / "shards"), partitions=2)
+    got = bitplanes.read_documents(spark, folder).orderBy("doc_id").collect()
+    assert [r.doc_id for r in got] == list(range(300)) and got[0].start == 0
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
+
+
+def test_long_units_are_not_cached():
+    own = tokenizing.UnitEncoder(WORD)
+    data, offsets = textbytes.text_buffer(pa.array(["x" * 5000 + "'" + "y" * 5000, "short"]))
+    ids, counts = own.ids(data, offsets)
+    assert [list(x) for x in np.split(ids, np.cumsum(counts)[:-1])] == own.encode(["x" * 5000 + "'" + "y" * 5000, "short"])
+    assert all(len(v) <= 4 * tokenizing.CACHED_IDS for v in own.cache.values())
 
 
 def test_small_cache_changes_nothing(monkeypatch):
