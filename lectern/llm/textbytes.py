@@ -6,7 +6,7 @@ Null texts count as empty.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -97,15 +97,14 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tu
     return first, np.flatnonzero(ends) + 1, np.searchsorted(first, offsets)
 
 
-def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit polynomial hash of each span of bytes, the same wherever the span lies."""
+def _hash(part_of: Callable[[int, int], np.ndarray], n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of spans of n values, of which part_of gives an own copy of a slice."""
     up, down = _tables()
-    n = len(data)
     sums = np.empty(n + 1, dtype=np.uint64)
     sums[0] = 0
     scale = 1
     for at in range(0, n, 1 << _BITS):
-        part = _BYTE[data[at : at + (1 << _BITS)]]
+        part = part_of(at, at + (1 << _BITS))
         part *= up[: len(part)]
         if at:
             part *= _U64(scale)
@@ -121,6 +120,16 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix(out)
 
 
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit polynomial hash of each span of bytes, the same wherever the span lies."""
+    return _hash(lambda a, b: _BYTE[data[a:b]], len(data), starts, ends)
+
+
+def hash_runs(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The same of spans of word hashes."""
+    return _hash(lambda a, b: words[a:b].copy(), len(words), starts, ends)
+
+
 def lower_table() -> np.ndarray:
     """Maps A-Z to a-z and leaves other bytes."""
     out = np.arange(256, dtype=np.uint8)

@@ -221,3 +221,50 @@ def test_passages_inside_longer_lines(spark):
         assert report[k].n_dropped == 0 and 300 - 2 * 64 <= report[k].n_words_dropped <= 300
         assert all(w in run for w in set(dict(docs)[k].split()) - set(kept[k].split()))
     assert kept[20] == docs[-2][1] and report[20].n_passages == 0 and kept[21] == "" and report[21].n_passages == 1
+
+
+def plain_segments(text, passage_words):
+    """Lines and segments by the definition, one token after the other."""
+    out = []
+    for number, line in enumerate(text.split("\n")):
+        tokens = re.findall(r"[^\x20\x09-\x0D]+", line)
+        if not tokens:
+            continue
+        out.append((number, 0, 0, len(tokens)))
+        if len(tokens) < passage_words:
+            continue
+        data = np.frombuffer(" ".join(tokens).encode(), np.uint8)
+        ends = np.cumsum([len(w.encode()) + 1 for w in tokens]) - 1
+        value = [tl._VARIABLE_HASH if re.search("[0-9]", w) else h for w, h in zip(tokens, tl.hash_spans(data, ends - [len(w.encode()) for w in tokens], ends))]
+        cut = [k for k, w in enumerate(tokens, 1) if re.search("[.!?…][\"')\\]}»”’]{0,4}$", w) or k == len(tokens)]
+        edges = [0]
+        for end in cut:
+            if end - edges[-1] > tl.LONG_SENTENCE:
+                for k in range(edges[-1], end):
+                    near = range(max(0, k - tl.CUT_REACH), min(len(tokens), k + tl.CUT_REACH + 1))
+                    if all(value[k] < value[j] if j < k else value[k] <= value[j] for j in near if j != k) and k + 1 not in (edges[-1], end):
+                        edges.append(k + 1)
+            edges.append(end)
+        out += [(number, part, a, b - a) for part, (a, b) in enumerate(zip(edges, edges[1:]), 1)]
+    return out
+
+
+def test_units_are_those_of_the_definition():
+    rng = random.Random(12)
+    word = lambda: rng.choice(["alpha", "é", "b", "x1", "12", "end.", "why?)", "so…”", "(a.)", "...", "!\"''')", "!\"''')]", "la", "la", "la", "gamma"] * 1 + ["plain"] * rng.choice([1, 60]))
+    texts = ["", "\n\n", "one", "a\n", " \t\n x y"] + ["\n".join(" ".join(word() for _ in range(rng.choice([0, 3, 24, 25, 90, 300]))) for _ in range(rng.randint(1, 5))) for _ in range(60)]
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])
+    got = sorted((r["id"], r["line"], r["part"], r["first"], r["n"]) for out in tl._units(3, 0.5, 24)(iter([batch])) for r in out.to_pylist())
+    assert got == sorted((k, *x) for k, t in enumerate(texts) for x in plain_segments(t, 24))
+
+
+def test_lines_nulls_and_repeated_rows(spark):
+    long = "Some words that are said again and again by all of the people here, of whom there are more than a few today."
+    rows = [(1, long), (1, long), (None, long), (None, "alone it stands in here so that nobody else has it"), (2, None), (3, "\n \n"), (4, "x " * 40_000)]
+    report = sorted((tuple(r) for r in tl.line_report(table(spark, rows)).collect()), key=repr)
+    by = {r[0]: r for r in report}
+    assert len(report) == len(rows) and by[1][1:5] == (2, 2, 46, "0") and by[2][1] == by[3][1] == 0 and by[4][1:3] == (1, 0)
+    lines = tl.recurring_lines(table(spark, rows)).collect()
+    assert sorted((r.doc_id, r.dropped) for r in lines if r.doc_id) == [(1, True), (1, True), (4, False)] and sum(r.doc_id is None and r.dropped for r in lines) == 1
