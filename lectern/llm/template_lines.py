@@ -14,7 +14,7 @@ recur across documents are dropped.
 Lines of PASSAGE_WORDS tokens or more are also cut into segments, so that a
 passage is found wherever it stands: at the ends of sentences and, in
 sentences of more than LONG_SENTENCE tokens, after tokens whose hash is the
-least of its neighbours'.  A segment recurs if it is found in several
+least of its neighbours' and after every CUT_REACH equal tokens.  A segment recurs if it is found in several
 documents with equal tokens, those with a digit being variable.  Where
 successive segments recur and have PASSAGE_WORDS tokens together, they go from
 a line that stays.
@@ -47,7 +47,7 @@ CHUNK_LINES, CHUNK_TOKENS = 8192, 1 << 21
 #: Tokens of successive recurring segments that make a passage.
 PASSAGE_WORDS = 24
 #: Longer sentences are cut after tokens with the least hash of CUT_REACH tokens on either side.
-LONG_SENTENCE, CUT_REACH = 32, 8
+LONG_SENTENCE, CUT_REACH = 20, 8
 #: Signs that may follow the end of a sentence: at most so many are looked through.
 CLOSERS = 4
 _U64 = np.uint64
@@ -150,7 +150,11 @@ class _Block(_Lines):
                 same = line[d:] == line[:-d]
                 least[:-d] &= ~same | (self.words[:-d] <= self.words[d:])
                 least[d:] &= ~same | (self.words[d:] < self.words[:-d])
-            edge = np.flatnonzero(cut | least)
+            alike = np.zeros(n, dtype=bool)
+            alike[1:] = (self.words[1:] == self.words[:-1]) & (line[1:] == line[:-1])
+            start = np.flatnonzero(~alike)
+            place = np.arange(n) - np.repeat(start, np.diff(np.append(start, n)))
+            edge = np.flatnonzero(cut | least | (long & (place % CUT_REACH == CUT_REACH - 1)))
         begin, end = np.concatenate(([0], edge[:-1] + 1)), edge + 1
         own = np.searchsorted(self.first, begin, side="right") - 1
         keep = self.size[own] >= passage_words

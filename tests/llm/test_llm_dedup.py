@@ -242,7 +242,9 @@ def plain_segments(text, passage_words):
             if end - edges[-1] > tl.LONG_SENTENCE:
                 for k in range(edges[-1], end):
                     near = range(max(0, k - tl.CUT_REACH), min(len(tokens), k + tl.CUT_REACH + 1))
-                    if all(value[k] < value[j] if j < k else value[k] <= value[j] for j in near if j != k) and k + 1 not in (edges[-1], end):
+                    equal = next(n for n in range(k + 1) if k == n or value[k - n - 1] != value[k])
+                    least = all(value[k] < value[j] if j < k else value[k] <= value[j] for j in near if j != k)
+                    if (least or equal % tl.CUT_REACH == tl.CUT_REACH - 1) and k + 1 != end:
                         edges.append(k + 1)
             edges.append(end)
         out += [(number, part, a, b - a) for part, (a, b) in enumerate(zip(edges, edges[1:]), 1)]
