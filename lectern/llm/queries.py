@@ -54,7 +54,8 @@ def op6_html_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_block_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taken_words(*mix(_table(spark, sf_dir, "documents"), weights=(3.0, 1.0, 2.0), share=1.5, repeat=2.0))
+    plan, pieces, _ = mix(_table(spark, sf_dir, "documents"), weights=(3.0, 1.0, 2.0), share=1.5, repeat=2.0)
+    return taken_words(plan, pieces)
 
 
 def op8_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,7 +43,7 @@ def mixed_rows(spark):
 
 def test_mix_meets_its_targets(spark):
     rows, df = mixed_rows(spark)
-    got = mixing.taken_words(*mixing.mix(df)).collect()
+    got = mixing.taken_words(*mixing.mix(df)[:2]).collect()
     sizes = Counter()
     for _, text, source in rows:
         sizes[source] += len((text or "").split())
@@ -55,19 +55,47 @@ def test_mix_meets_its_targets(spark):
         assert r.target == pytest.approx(by_size[r.source_size]) and r.taken <= 2 * r.size
         taken[r.source_size] += r.taken
     for size, target in by_size.items():
-        assert abs(taken[size] - target) <= max(2, 0.01 * target)
-    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, mixing.taken_words(*mixing.mix(df)).collect()), key=repr)
+        assert taken[size] == math.floor(target)
+    again = mixing.taken_words(*mixing.mix(df.repartition(3, "text"))[:2]).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, again), key=repr)
 
 
 def test_every_block_once_before_any_twice(spark):
     df = spark.createDataFrame([(k, "w " * 700, "s") for k in range(30)], "doc_id long, text string, source string")
-    _, pieces = mixing.mix(df, share=1.4)
+    _, pieces, _ = mixing.mix(df, share=1.4)
     words = Counter()
     for p in pieces.collect():
         words.update((p.id, w, p.epoch) for w in range(p["first"], p["last"]))
     assert set(words.values()) == {1}
     assert {(k, w) for k, w, e in words if e == 0} == {(k, w) for k in range(30) for w in range(700)}
-    assert len({p.shard for p in mixing.mix(df, shard_blocks=10)[1].collect()}) > 5
+
+
+def test_drawn_counts_are_what_shards_hold(spark):
+    """Full shards, sources in proportion and not all alike, each slot once; the pieces follow the draw."""
+    df = spark.createDataFrame([(k, "w " * 500, "abc"[k % 3]) for k in range(300)], "doc_id long, text string, source string")
+    plan, pieces, draws = mixing.mix(df, share=1.5, shard_blocks=50)
+    drawn = {(r.shard, r.source): (r.n, r["first"]) for r in draws.collect()}
+    target = {r.source: r.target for r in plan.select("source", "target").distinct().collect()}
+    slots = {s: math.ceil(math.floor(t) / 128) if t < 50_000 else 390 + math.ceil((math.floor(t) - 50_000) / 128) if t < 100_000 else 782 for s, t in target.items()}
+    shards = Counter()
+    for (shard, _), (n, _) in drawn.items():
+        shards[shard] += n
+    assert sorted(shards) == list(range(len(shards))) and all(shards[k] == 50 for k in range(len(shards) - 1)) and 0 < shards[len(shards) - 1] <= 50
+    for source in "abc":
+        own = sorted((shard, n, first) for (shard, s), (n, first) in drawn.items() if s == source)
+        at = 0
+        for _, n, first in own:
+            assert first == at
+            at += n
+        assert abs(at - slots[source]) <= 1
+        share = at / sum(shards.values())
+        spread = [(n - 50 * share) / math.sqrt(50 * share * (1 - share)) for shard, n, _ in own if shards[shard] == 50]
+        assert len({n for _, n, _ in own}) > 3 and 0.5 < np.std(spread) < 1.5 and max(map(abs, spread)) < 5
+    held = defaultdict(set)
+    names = dict(map(tuple, df.select("doc_id", "source").collect()))
+    for p in pieces.collect():
+        held[p.shard, names[p.id]].add(p.slot)
+    assert {k: (len(v), min(v)) for k, v in held.items()} == drawn
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 97])
@@ -77,21 +105,34 @@ def test_permutation(spark, n):
 
 
 def test_mixed_documents(spark):
-    text = "One  two\nthree four. " * 40
-    df = spark.createDataFrame([(1, text, "en", "a", 5), (2, "b " * 30, "en", "b", 5), (3, None, "en", "a", 0)], "doc_id long, text string, lang string, source string, n_chars long")
-    got = mixing.mixed_documents(df, mixing.mix(df, share=1.2)).collect()
-    words = Counter()
+    text = "One  two\nthree four. " * 25
+    rows = [(1, text, "en", "a", 5), (2, "b " * 300, "en", "b", 5), (3, None, "en", "a", 0), (None, "no id of " * 30, "en", "b", 9), (7, "x y z", "en", "a", 1), (7, "u v", "fr", "b", 1), (8, "w" * 50_000 + " end", "en", "a", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = mixing.mixed_documents(df, share=1.2, shard_blocks=3, shard_col="shard").collect()
+    words, size = Counter(), Counter()
+    for r in rows:
+        size[r[0], r[2]] += len((r[1] or "").split())
     for r in got:
-        assert r.n_chars == len(r.text) and r.doc_id in (1, 2)
-        words[r.doc_id] += len(r.text.split())
-    assert abs(sum(words.values()) - 1.2 * 190) <= 4
-    assert any(r.text == text for r in got if r.doc_id == 1)
-    assert mixing.taken_words(*mixing.mix(df.where("false"))).count() == 0
+        assert r.n_chars == len(r.text) and r.text in {x[1] for x in rows} | {t for x in rows for t in [r.text] if x[1] and t in x[1]}
+        words[r.doc_id, r.lang] += len(r.text.split())
+    assert abs(sum(words.values()) - 1.2 * sum(size.values())) <= 2
+    assert all(words[k] <= 2 * n for k, n in size.items()) and words[None, "en"] >= 1 and (3, "en") not in words
+    assert len({r.shard for r in got}) >= 2
+    clash = df.withColumns({c: F.lit(1) for c in ("row", "slot", "_row", "first", "size", "_words_")})
+    assert mixing.mixed_documents(clash).columns == clash.columns
+    assert mixing.mixed_documents(df.where("false")).count() == 0
+    assert mixing.taken_words(*mixing.mix(df.where("false"))[:2]).count() == 0
+
+
+def test_mix_of_a_very_long_text(spark):
+    df = spark.createDataFrame([(1, "w " * 300_000, "a"), (2, "v", "a"), (3, "u " * 50, "b")], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in mixing.taken_words(*mixing.mix(df)[:2]).collect()}
+    assert got[1].taken + got[2].taken == math.floor(got[1].target) and got[3].taken == math.floor(got[3].target) == 100 and got[1].taken <= 600_000
 
 
 def test_native(spark):
     rows, df = mixed_rows(spark)
-    plans = [mixing.mix(df)[1], mixing.mixed_documents(df.select("doc_id", "text", "source"), mixing.mix(df)), um.judge(spark.createDataFrame([(1, "http://a.b/c")], "page_id long, url string"), um.fit(um.labelled_urls(spark, 400)))]
+    plans = [mixing.mix(df)[1], mixing.mixed_documents(df.select("doc_id", "text", "source")), um.judge(spark.createDataFrame([(1, "http://a.b/c")], "page_id long, url string"), um.fit(um.labelled_urls(spark, 400)))]
     for plan in plans:
         assert not re.search("Python|Pandas|Arrow|MapIn", plan._jdf.queryExecution().executedPlan().toString())
 
