@@ -13,7 +13,7 @@ from .html_graph import extract
 from .language_bloom import held_out, identify, train
 from .minhash_dedup import near_dedup
 from .mixing import mix, taken_words
-from .progressive_jpeg import describe, store_texts
+from .progressive_jpeg import store_and_describe
 from .template_lines import line_report
 from .token_counts import count_tokens
 from .url_markov import fit, judge, labelled_urls
@@ -59,7 +59,7 @@ def op7_block_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return describe(store_texts(_table(spark, sf_dir, "documents")))
+    return store_and_describe(_table(spark, sf_dir, "documents"))
 
 
 def op9_language_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -298,22 +298,113 @@ def test_sparse_scans_and_samples():
     assert np.abs(image.rgb()[:, :, 0].astype(int) - np.clip(np.round(plane + 128), 0, 255)).max() <= 1
 
 
+def colour(planes, restart):
+    """A file of three components (2x2, 1, 1), all scans plain: DC interleaved, then AC 1-63 of each; restarts after some MCUs."""
+    counts, symbols = bytes([0] * 7 + [255] + [0] * 8), bytes(range(255))
+    table = pj._Huffman(counts, symbols)
+    tall, wide = planes[1].shape[:2]
+    out = b"\xff\xd8\xff\xdb" + struct.pack(">HB", 67, 0) + bytes(range(1, 65))
+    for kind in (0x00, 0x10):
+        out += b"\xff\xc4" + struct.pack(">HB", 19 + 255, kind) + counts + symbols
+    out += b"\xff\xdd" + struct.pack(">HH", 4, restart)
+    out += b"\xff\xc2" + struct.pack(">HBHHB", 17, 8, 16 * tall - 3, 16 * wide - 5, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])
+
+    def scan(parts, names, ss, se):
+        body = b""
+        for k, bits in enumerate(parts):
+            bits = bits + [1] * (-len(bits) % 8)
+            body += (b"\xff" + bytes([0xD0 + (k - 1) % 8]) if k else b"") + np.packbits(np.array(bits, np.uint8)).tobytes().replace(b"\xff", b"\xff\x00")
+        return b"\xff\xda" + struct.pack(">HB", 6 + 2 * len(names), len(names)) + b"".join(bytes([c, 0]) for c in names) + bytes([ss, se, 0]) + body
+
+    parts = []
+    for n in range(tall * wide):
+        if n % restart == 0:
+            parts.append([])
+            before = [0, 0, 0]
+        r, c = divmod(n, wide)
+        for i, own in enumerate([[planes[0][2 * r + a, 2 * c + b] for a in (0, 1) for b in (0, 1)], [planes[1][r, c]], [planes[2][r, c]]]):
+            for block in own:
+                size, extra = magnitude(int(block[0]) - before[i])
+                parts[-1] += code_bits(table, size) + extra
+                before[i] = int(block[0])
+    out += scan(parts, [1, 2, 3], 0, 0)
+    for i, plane in enumerate(planes):
+        rows = -(-(16 * tall - 3) // 8) if i == 0 else tall
+        cols = -(-(16 * wide - 5) // 8) if i == 0 else wide
+        parts = []
+        for n, block in enumerate(plane[r, c] for r in range(rows) for c in range(cols)):
+            if n % restart == 0:
+                parts.append([])
+            run = 0
+            for k in range(1, 64):
+                if not block[k]:
+                    run += 1
+                    continue
+                while run > 15:
+                    parts[-1], run = parts[-1] + code_bits(table, 0xF0), run - 16
+                size, extra = magnitude(int(block[k]))
+                parts[-1], run = parts[-1] + code_bits(table, run << 4 | size) + extra, 0
+            if run:
+                parts[-1] += code_bits(table, 0)
+        out += scan(parts, [i + 1], 1, 63)
+    return out + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("restart", [2, 5, 100])
+def test_colour_with_subsampled_chroma_and_restarts(restart):
+    rng = np.random.default_rng(4)
+    planes = []
+    for rows, cols in ((4, 6), (2, 3), (2, 3)):
+        blocks = rng.integers(-9, 10, (rows, cols, 64)) * (rng.random((rows, cols, 64)) < 0.15)
+        blocks[..., 0] = rng.integers(-60, 60, (rows, cols))
+        planes.append(blocks)
+    image = next(pj.decode_images(colour(planes, restart)))
+    x, full = np.arange(8), []
+    for c, plane in zip(image.components, planes):
+        assert (c["coefs"].reshape(plane.shape) == plane).all()
+        out = np.zeros((8 * plane.shape[0], 8 * plane.shape[1]))
+        for r in range(plane.shape[0]):
+            for q in range(plane.shape[1]):
+                for k, v in enumerate(plane[r, q]):
+                    i, j = divmod(int(pj.ZIGZAG[k]), 8)
+                    scale = (math.sqrt(0.5) if i == 0 else 1) * (math.sqrt(0.5) if j == 0 else 1) / 4
+                    out[8 * r : 8 * r + 8, 8 * q : 8 * q + 8] += v * (k + 1) * scale * np.outer(np.cos((2 * x + 1) * i * math.pi / 16), np.cos((2 * x + 1) * j * math.pi / 16))
+        full.append(np.clip(out + 128, 0, 255))
+    y, cb, cr = full[0], *(np.kron(p, np.ones((2, 2))) - 128 for p in full[1:])
+    expected = np.clip(np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], axis=2), 0, 255)[:29, :43]
+    assert image.rgb().shape == (29, 43, 3) and np.abs(image.rgb() - expected).max() <= 2.5
+
+
+def test_other_files_raise():
+    good = pj.encode_payload(b"x" * 576)
+    for bad in (b"no image", good.replace(b"\xff\xc2", b"\xff\xc0"), good.replace(b"\xff\xc2", b"\xff\xca"), b"\xff\xd8" + good[good.index(b"\xff\xda") :], good[:-2]):
+        with pytest.raises(ValueError):
+            list(pj.decode_images(bad))
+
+
 def test_media_column(spark):
-    rows = [(1, "Some text"), (2, None), (3, ""), (4, "Some text"), (5, "é" * 30_000), (None, "x")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("id", "media", "n_bytes")})
-    media = pj.store_texts(docs)
-    got = {r.doc_id: r for r in pj.describe(media).collect()}
+    rows = [(1, "Some text"), (2, None), (3, ""), (4, "Some text"), (5, "é" * 30_000), (None, "x"), (None, "x"), (9, "long " * 900_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("id", "media", "n_bytes", "rgb")})
+    found = pj.store_and_describe(docs, rounds=3)
+    got = {r.doc_id: r for r in found.collect()}
+    assert found.count() == len(rows)
     for name, text in rows:
         raw = (text or "").encode()
         payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
         r = got[name]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+    media = pj.store_texts(docs)
     stored = {r.doc_id: bytes(r.media) for r in media.collect()}
     assert all(got[k].media_bytes == len(v) and got[k].media_sha256 == hashlib.sha256(v).hexdigest() for k, v in stored.items())
     assert got[1][1:] == got[4][1:]
-    tensors = pj.rgb_tensors(media).where("doc_id = 5").first()
-    assert len(tensors.rgb) == tensors.height * tensors.width * 3
-    assert pj.describe(pj.store_texts(docs.where("false"))).count() == 0
+    for r in pj.rgb_tensors(media).where("doc_id IN (5, 9)").collect():
+        images = list(pj.decode_images(stored[r.doc_id]))
+        assert [bytes(t) for t in r.rgb] == [i.rgb().tobytes() for i in images] and [len(t) for t in r.rgb] == [3 * h * w for h, w in zip(r.heights, r.widths)]
+        means = np.concatenate([i.rgb().reshape(-1, 3) for i in images]).sum(axis=0, dtype=np.int64) * 100 // sum(i.height * i.width for i in images)
+        assert got[r.doc_id].feature == "+".join(f"{i.width}x{i.height}" for i in images) + ":" + ",".join(map(str, means))
+    assert pj.store_and_describe(docs.where("false"), rounds=2).count() == 0
+    empty = pj.features(pj.rgb_tensors(spark.createDataFrame([(1, None), (2, b"")], "doc_id int, media binary"))).collect()
+    assert [(r.payload_bytes, r.media_bytes, r.feature) for r in empty] == [(0, 0, ":0,0,0")] * 2
 
 
 # language
