@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .textbytes import ALNUM, LOWER, blocks, hash_spans, text_buffer, window_hashes, word_spans
+from .textbytes import ALNUM, LOWER, blocks, expand, hash_spans, text_buffer, window_hashes, word_spans
 from .workspace import materialize
 
 SHINGLE = 3
@@ -113,12 +113,6 @@ class _Block:
             })
 
 
-def _expand(first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """first[i], first[i] + 1, ... count[i] numbers for each i."""
-    ends = np.cumsum(count)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - count), count)
-
-
 def _probe(shared):
     """(key columns, n_words, begins, ends, items) per text; word spans are merged."""
 
@@ -136,7 +130,7 @@ def _probe(shared):
                     if not len(where):
                         continue
                     n = g["begin"][k + 1] - g["begin"][k]
-                    w = _expand(g["begin"][k], n)
+                    w = expand(g["begin"][k], n)
                     start = np.repeat(where, n) - g["shift"][w]
                     doc = np.searchsorted(first, np.repeat(where, n), side="right") - 1
                     fits = (start >= first[doc]) & (start + g["size"][w] <= first[doc + 1])
@@ -148,7 +142,7 @@ def _probe(shared):
                         np.add.at(delta, s, 1)
                         np.add.at(delta, s + size, -1)
                         n = g["named"][v + 1] - g["named"][v]
-                        pairs.append(np.stack([np.repeat(d, n), g["names"][_expand(g["named"][v], n)]]))
+                        pairs.append(np.stack([np.repeat(d, n), g["names"][expand(g["named"][v], n)]]))
                 inside = np.cumsum(delta[:-1]) > 0
                 # a span ends with its text: two hits that touch across a border stay apart
                 new = np.zeros(len(words) + 1, dtype=bool)

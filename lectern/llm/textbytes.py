@@ -75,6 +75,12 @@ def blocks(data: np.ndarray, offsets: np.ndarray, limit: int = BLOCK) -> Iterato
         first = end
 
 
+def expand(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, ... count[i] numbers for each i."""
+    ends = np.cumsum(count)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - count), count)
+
+
 def starts_of_texts(offsets: np.ndarray, size: int) -> np.ndarray:
     """True at each byte with which a text begins."""
     mark = np.zeros(size + 1, dtype=bool)

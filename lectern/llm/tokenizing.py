@@ -18,15 +18,15 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from itertools import chain
 
 import numpy as np
 
-from .textbytes import blocks, hash_spans, starts_of_texts
+from .textbytes import blocks, expand, hash_spans, starts_of_texts
 
-#: Entries of each of a worker's two generations of cached units, and ids of a unit that is cached: a full
-#: generation becomes the old one, from which units in use come back. An entry takes some 180 bytes and four for
-#: each id, so a worker's cache stays under 100 MB whatever the texts; that changes no result.
-CACHE_UNITS, CACHED_IDS = 1 << 17, 48
+#: Places of a worker's cache of units, and ids that a place holds: 45 bytes each, 47 MB whatever the texts. A unit
+#: with more ids, or whose two places are taken by others, is encoded anew in each block; that changes no result.
+CACHE_BITS, CACHED_IDS = 20, 9
 
 _CLASS = np.full(256, 3, dtype=np.uint8)  # 0 white space, 1 letter, 2 digit, 3 other
 _CLASS[[32, *range(9, 14)]] = 0
@@ -107,8 +107,9 @@ class UnitEncoder:
         self.dropped = pre.get("type") == "Sequence" and pre["pretokenizers"][0].get("behavior") == "Removed"
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t["content"].encode() for t in spec["added_tokens"]]
-        self.cache: dict[int, bytes] = {}
-        self.old: dict[int, bytes] = {}
+        self.keys = np.zeros(1 << CACHE_BITS, dtype=np.uint64)
+        self.sizes = np.full(1 << CACHE_BITS, 255, dtype=np.uint8)  # 255: nothing there
+        self.rows = np.zeros((1 << CACHE_BITS, CACHED_IDS), dtype="<u4")
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -130,8 +131,8 @@ class UnitEncoder:
             whole[np.searchsorted(offsets, odd, side="right") - 1] = True
         return whole
 
-    def _lookup(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-        """The distinct units' ids as little-endian 32-bit bytes, and each unit's place among them."""
+    def _lookup(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct units' numbers of ids, these ids one after the other, and each unit's place among the distinct ones."""
         keys = hash_spans(data, starts, ends)
         order = np.argsort(keys)
         ranked = keys[order]
@@ -139,26 +140,34 @@ class UnitEncoder:
         lead[1:] = ranked[1:] != ranked[:-1]
         place = np.empty(len(keys), dtype=np.int64)
         place[order] = np.cumsum(lead) - 1
-        names, at = ranked[lead].tolist(), order[lead]
-        if len(self.cache) > CACHE_UNITS:
-            self.cache, self.old = {}, self.cache
-        got = [self.cache.get(k) for k in names]
-        missing = []
-        for k, x in enumerate(got):
-            if x is None:
-                found = self.old.get(names[k])
-                if found is None:
-                    missing.append(k)
-                else:
-                    got[k] = self.cache[names[k]] = found
-        if missing:
+        names, at = ranked[lead], order[lead]
+        bits = np.uint64(len(self.keys) - 1)
+        slots = [((names >> np.uint64(k)) & bits).astype(np.int64) for k in (0, 32)]
+        own = [(self.keys[slot] == names) & (self.sizes[slot] != 255) for slot in slots]
+        slot, hit = np.where(own[0], slots[0], slots[1]), own[0] | own[1]
+        sizes = self.sizes[slot].astype(np.int64)
+        missing = np.flatnonzero(~hit)
+        fresh = np.zeros(0, "<u4")
+        if len(missing):
             raw = data.tobytes()
             spans = zip(starts[at[missing]].tolist(), ends[at[missing]].tolist())
-            for k, ids in zip(missing, self.encode([raw[a:b].decode() for a, b in spans])):
-                got[k] = np.array(ids, dtype="<u4").tobytes()
-                if len(ids) <= CACHED_IDS:
-                    self.cache[names[k]] = got[k]
-        return got, place
+            found = self.encode([raw[a:b].decode() for a, b in spans])
+            sizes[missing] = [len(x) for x in found]
+            fresh = np.fromiter(chain.from_iterable(found), "<u4", int(sizes[missing].sum()))
+        first = np.concatenate(([0], np.cumsum(sizes)))
+        pool = np.empty(first[-1], dtype="<u4")
+        inside = np.arange(CACHED_IDS) < sizes[hit][:, None]
+        pool[expand(first[:-1][hit], sizes[hit])] = self.rows[slot[hit]][inside]
+        pool[expand(first[:-1][missing], sizes[missing])] = fresh
+        small = missing[sizes[missing] <= CACHED_IDS]
+        if len(small):  # the first place if nothing is there, else the second
+            to = np.where(self.sizes[slots[0][small]] == 255, slots[0][small], slots[1][small])
+            to, which = np.unique(to, return_index=True)
+            small = small[which]
+            self.keys[to], self.sizes[to] = names[small], sizes[small]
+            row = np.repeat(np.arange(len(small)), sizes[small])
+            self.rows[to[row], np.arange(len(row)) - np.repeat(np.cumsum(sizes[small]) - sizes[small], sizes[small])] = pool[expand(first[:-1][small], sizes[small])]
+        return sizes, pool, place
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in order, and the number of ids of each text."""
@@ -166,13 +175,11 @@ class UnitEncoder:
         for _, _, part, at in blocks(data, offsets):
             whole = self._whole(part, at)
             starts, ends = unit_spans(part, at, bool(self.spaced))
-            got, place = self._lookup(part, starts, ends) if len(starts) else ([], np.zeros(0, np.int64))
-            sizes = np.array([len(x) // 4 for x in got], dtype=np.int64)
+            sizes, pool, place = self._lookup(part, starts, ends)
             first = np.concatenate(([0], np.cumsum(sizes)))
-            pool = np.frombuffer(b"".join(got), dtype="<u4")
             each = sizes[place]
             begin = np.concatenate(([0], np.cumsum(each)))
-            out = pool[np.arange(begin[-1]) + np.repeat(first[place] - begin[:-1], each)] if len(pool) else np.zeros(0, "<u4")
+            out = pool[expand(first[place], each)]
             edges = begin[np.searchsorted(starts, at)]
             number = np.diff(edges)
             if whole.any():
@@ -191,8 +198,8 @@ class UnitEncoder:
         for _, _, part, at in blocks(data, offsets):
             whole = self._whole(part, at)
             starts, ends = unit_spans(part, at, bool(self.spaced))
-            got, place = self._lookup(part, starts, ends) if len(starts) else ([], np.zeros(0, np.int64))
-            sums = np.concatenate(([0], np.cumsum(np.array([len(x) // 4 for x in got], dtype=np.int64)[place])))
+            sizes, _, place = self._lookup(part, starts, ends)
+            sums = np.concatenate(([0], np.cumsum(sizes[place])))
             number = np.diff(sums[np.searchsorted(starts, at)])
             if whole.any():
                 raw, hit = part.tobytes(), np.flatnonzero(whole)

@@ -148,19 +148,12 @@ def test_shards_in_several_files(spark, tmp_path):
     assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
 
 
-def test_long_units_are_not_cached():
-    own = tokenizing.UnitEncoder(WORD)
-    data, offsets = textbytes.text_buffer(pa.array(["x" * 5000 + "'" + "y" * 5000, "short"]))
-    ids, counts = own.ids(data, offsets)
-    assert [list(x) for x in np.split(ids, np.cumsum(counts)[:-1])] == own.encode(["x" * 5000 + "'" + "y" * 5000, "short"])
-    assert all(len(v) <= 4 * tokenizing.CACHED_IDS for v in own.cache.values())
-
-
 def test_small_cache_changes_nothing(monkeypatch):
-    monkeypatch.setattr(tokenizing, "CACHE_UNITS", 5)
-    own, given_ = tokenizing.UnitEncoder(WORD), texts(8, 300)
+    monkeypatch.setattr(tokenizing, "CACHE_BITS", 3)
+    own, given_ = tokenizing.UnitEncoder(WORD), [*texts(8, 300), "x" * 5000 + "'" + "y" * 5000]
     for _ in range(3):
         for k in range(0, len(given_), 20):
             data, offsets = textbytes.text_buffer(pa.array(given_[k : k + 20]))
             ids, counts = own.ids(data, offsets)
             assert [list(x) for x in np.split(ids, np.cumsum(counts)[:-1])] == own.encode(given_[k : k + 20])
+            assert own.counts(data, offsets).tolist() == counts.tolist()
