@@ -1,8 +1,9 @@
 """Language identification with bit-sliced Bloom filters of byte n-grams.
 
-One array of bit masks is the filter of all languages at once: slot by slot,
-bit l tells whether language l's filter has that slot.  The masks of an
-n-gram's slots, and-ed, give all languages that contain it.  Over a text, the
+An array of bit masks is the filter of up to WORD languages at once: slot by
+slot, bit l tells whether language l's filter has that slot.  More languages
+take more arrays.  The masks of an n-gram's slots, and-ed, give all languages
+that contain it.  Over a text, the
 bits are counted per language, corrected for the filter's false positives, and
 the language with most n-grams decides.
 """
@@ -19,7 +20,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .textbytes import blocks, starts_of_texts, text_buffer
 
-SIZES, HASHES, SLOT_BITS = (4, 6), 3, 21
+SIZES, HASHES, SLOT_BITS, WORD = (4, 6), 3, 21, 63
+#: n-grams that a task of the training counts at once.
+FLUSH = 1 << 20
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 _SPACE = np.arange(256, dtype=np.uint8)
 _SPACE[65:91] += 32
@@ -59,55 +62,68 @@ def _slots(grams: np.ndarray, bits: int) -> list[np.ndarray]:
 
 @dataclass
 class LanguageFilter:
-    """The filter: languages in order, masks by slot, and each language's false-positive rate."""
+    """The filter: languages in order, masks by slot (a row for each WORD languages), and each language's false-positive rate."""
 
     languages: list[str]
     masks: np.ndarray
     rate: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
-        if len(self.languages) > 63:
-            raise ValueError("a filter of 64-bit masks takes 63 languages at most")
-        fill = np.array([np.mean((self.masks >> np.uint64(k)) & np.uint64(1)) for k in range(len(self.languages))])
+        self.masks = self.masks.reshape(-1, self.masks.shape[-1])
+        if len(self.languages) > WORD * len(self.masks):
+            raise ValueError("there are more languages than bits")
+        fill = np.array([np.mean((self.masks[k // WORD] >> np.uint64(k % WORD)) & np.uint64(1)) for k in range(len(self.languages))])
         self.rate = fill**HASHES
 
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Per text: the number of n-grams, and the corrected number in each language."""
         n_texts, k = len(offsets) - 1, len(self.languages)
         total, hits = np.zeros(n_texts), np.zeros((n_texts, k))
-        bits = int(len(self.masks) - 1).bit_length()
+        bits = int(self.masks.shape[1] - 1).bit_length()
         for first, end, part, at in blocks(data, offsets):
             part = _folded(part)
             for size in SIZES:
                 where, grams = _grams(part, at, size)
-                mask = None
-                for slot in _slots(grams, bits):
-                    mask = self.masks[slot] if mask is None else mask & self.masks[slot]
-                edge = np.searchsorted(where, at)
+                slots, edge = _slots(grams, bits), np.searchsorted(where, at)
                 total[first:end] += np.diff(edge)
-                for lang in range(k):
-                    sums = np.concatenate(([0], np.cumsum((mask >> np.uint64(lang)) & np.uint64(1), dtype=np.int64)))
-                    hits[first:end, lang] += np.diff(sums[edge])
+                for word, masks in enumerate(self.masks):
+                    mask = masks[slots[0]]
+                    for slot in slots[1:]:
+                        mask &= masks[slot]
+                    for lang in range(word * WORD, min(k, (word + 1) * WORD)):
+                        sums = np.concatenate(([0], np.cumsum((mask >> np.uint64(lang % WORD)) & np.uint64(1), dtype=np.int64)))
+                        hits[first:end, lang] += np.diff(sums[edge])
         clean = np.maximum(hits - total[:, None] * self.rate, 0) / np.maximum(1 - self.rate, 1e-9)
         return total, clean
 
 
 def _train_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, gram, n): in how many texts of a batch a language's n-gram occurs."""
+    """(lang, gram, n): in how many of some texts a language's n-gram occurs."""
+    seen: dict[str, list[np.ndarray]] = {}
+    held = 0
+
+    def counted() -> Iterator[pa.RecordBatch]:
+        for lang, parts in seen.items():
+            values, n = np.unique(np.concatenate(parts), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values), pa.string()), pa.array(values.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+        seen.clear()
+
     for batch in batches:
         langs = batch.column(0).to_pylist()
         data, offsets = text_buffer(batch.column(1))
-        seen: dict[str, list[np.ndarray]] = {}
         for first, end, part, at in blocks(data, offsets):
             part = _folded(part)
-            for size in SIZES:
-                where, grams = _grams(part, at, size)
-                edge = np.searchsorted(where, at)
-                for k in range(end - first):
-                    seen.setdefault(langs[first + k], []).append(np.unique(grams[edge[k] : edge[k + 1]]))
-        for lang, parts in seen.items():
-            values, n = np.unique(np.concatenate(parts), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values)), pa.array(values.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+            found = [_grams(part, at, size) for size in SIZES]
+            edges = [np.searchsorted(where, at) for where, _ in found]
+            for k in range(end - first):
+                for (_, grams), edge in zip(found, edges):
+                    own = np.unique(grams[edge[k] : edge[k + 1]])
+                    seen.setdefault(langs[first + k], []).append(own)
+                    held += len(own)
+            if held >= FLUSH:
+                yield from counted()
+                held = 0
+    yield from counted()
 
 
 def _to_slots(bits: int):
@@ -115,8 +131,8 @@ def _to_slots(bits: int):
         for batch in batches:
             grams = batch.column(0).to_numpy().view(np.uint64)
             slots = np.concatenate(_slots(grams, bits)).astype(np.int64)
-            mask = np.tile(batch.column(1).to_numpy(), HASHES)
-            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(mask)], names=["slot", "mask"])
+            word, mask = (pa.array(np.tile(batch.column(k).to_numpy(), HASHES)) for k in (1, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(slots), word, mask], names=["slot", "word", "mask"])
 
     return run
 
@@ -133,20 +149,19 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}  # a row for each language
     languages = sorted(sizes)
     if not languages:
-        return LanguageFilter([], np.zeros(1 << slot_bits, dtype=np.uint64))
-    if len(languages) > 63:
-        raise ValueError("a filter of 64-bit masks takes 63 languages at most")
+        return LanguageFilter([], np.zeros((1, 1 << slot_bits), dtype=np.uint64))
     limit = lambda name: min(1.0, sample / sizes[name]) * (1 << 30)
     share = F.create_map(*[F.lit(x) for name in languages for x in (name, limit(name))])
     least = F.create_map(*[F.lit(x) for name in languages for x in (name, min(min_docs, max(1, sizes[name] // 10)))])
-    bit = F.create_map(*[F.lit(x) for k, name in enumerate(languages) for x in (name, 1 << k)])
+    bit = F.create_map(*[F.lit(x) for k, name in enumerate(languages) for x in (name, 1 << k % WORD)])
+    word = F.create_map(*[F.lit(x) for k, name in enumerate(languages) for x in (name, k // WORD)])
     chosen = rows.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1 << 30)) < share[F.col(lang_col)])
     grams = chosen.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(_train_grams, "lang string, gram bigint, n bigint")
     grams = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least[F.col("lang")])
-    slots = grams.select("gram", bit[F.col("lang")].cast("bigint").alias("mask")).mapInArrow(_to_slots(slot_bits), "slot bigint, mask bigint")
-    table = slots.groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()  # at most 2 ** slot_bits rows
-    masks = np.zeros(1 << slot_bits, dtype=np.uint64)
-    masks[table["slot"].to_numpy()] = table["mask"].to_numpy().view(np.uint64)
+    slots = grams.select("gram", word[F.col("lang")].alias("word"), bit[F.col("lang")].cast("bigint").alias("mask")).mapInArrow(_to_slots(slot_bits), "slot bigint, word int, mask bigint")
+    table = slots.groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toArrow()  # at most 2 ** slot_bits rows for each WORD languages
+    masks = np.zeros((1 + (len(languages) - 1) // WORD, 1 << slot_bits), dtype=np.uint64)
+    masks[table["word"].to_numpy(), table["slot"].to_numpy()] = table["mask"].to_numpy().view(np.uint64)
     return LanguageFilter(languages, masks)
 
 

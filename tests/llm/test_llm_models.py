@@ -447,6 +447,59 @@ def test_false_positives_are_taken_off():
     assert total[0] > 100_000 and clean[0, 0] < 0.05 * total[0]
 
 
+def folded_grams(text):
+    """The n-grams of a text as bytes, from its definition."""
+    raw = bytearray()
+    for c in text:
+        if c.isascii():
+            raw += (c.lower() if c.isalpha() else " ").encode()
+        else:
+            raw += (c.lower() if "À" <= c <= "Þ" and c != "×" else c).encode()
+    return [bytes(raw[k : k + n]) for n in lb.SIZES for k in range(len(raw) - n + 1) if raw[k + 1 : k + 2] != b" "]
+
+
+def test_filter_and_counts_are_those_of_plain_sets(spark):
+    """Slots, masks, counts and their correction against sets of n-grams and of slots."""
+    rows = [*language_rows(60), (500, "Größe ÉTÉ × 12 ab", "xx"), (501, "x", "yy")]
+    model = lb.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), min_docs=1, slot_bits=12)
+    names = sorted({r[2] for r in rows})
+    assert model.languages == names and model.masks.shape == (1, 1 << 12)
+
+    def slots(gram):
+        value = len(gram)
+        for byte in gram:
+            value = (value << 8 | byte) % 2**64
+        h = value * lb._MULTIPLIERS[0] % 2**64
+        h ^= h >> 31
+        return {(h * m % 2**64) >> (64 - 12) for m in lb._MULTIPLIERS}
+
+    least = {n: min(1, max(1, sum(r[2] == n for r in rows) // 10)) for n in names}
+    filters = {n: set().union(*(slots(g) for r in rows if r[2] == n for g in folded_grams(r[1]))) for n in names if least[n] == 1}
+    for k, name in enumerate(names):
+        assert set(np.flatnonzero(model.masks[0] >> np.uint64(k) & np.uint64(1)).tolist()) == filters[name]
+        assert model.rate[k] == pytest.approx((len(filters[name]) / 4096) ** 3)
+    texts = [r[1] for r in rows] + ["", "unknown words altogether", "É"]
+    joined = "".join(texts).encode()
+    offsets = np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts])))
+    total, clean = model.counts(np.frombuffer(joined, np.uint8), offsets)
+    for j, text in enumerate(texts):
+        grams = folded_grams(text)
+        assert total[j] == len(grams)
+        for k, name in enumerate(names):
+            hits = sum(slots(g) <= filters[name] for g in grams)
+            assert clean[j, k] == pytest.approx(max(0, hits - len(grams) * model.rate[k]) / (1 - model.rate[k]))
+
+
+def test_more_languages_than_a_mask_has_bits(spark):
+    """130 languages of one word each."""
+    word = lambda k: "".join(chr(97 + k // 26**j % 26) * 2 for j in range(4))
+    rows = [(100 * k + j, " ".join([word(37 * k + 11)] * 5), f"l{k:03}") for k in range(130) for j in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lb.train(docs)
+    assert model.masks.shape[0] == 3 and len(model.languages) == 130
+    assert all(r.lang_pred == r.lang for r in lb.identify(docs, model, keep=("lang",)).collect())
+
+
 # URLs
 
 
