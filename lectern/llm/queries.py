@@ -16,7 +16,7 @@ from .mixing import mix, taken_words
 from .progressive_jpeg import store_and_describe
 from .template_lines import line_report
 from .token_counts import count_tokens
-from .url_markov import fit, judge, labelled_urls
+from .url_markov import fit, judge, labelled_by_rules
 from .workspace import bound_batches, new_path
 
 
@@ -72,7 +72,8 @@ def op9_language_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(_table(spark, sf_dir, "pages"), fit(labelled_urls(spark)))
+    pages = _table(spark, sf_dir, "pages")
+    return judge(pages, fit(labelled_by_rules(pages), max_rows=20_000))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -132,7 +132,7 @@ def test_mix_of_a_very_long_text(spark):
 
 def test_native(spark):
     rows, df = mixed_rows(spark)
-    plans = [mixing.mix(df)[1], mixing.mixed_documents(df.select("doc_id", "text", "source")), um.judge(spark.createDataFrame([(1, "http://a.b/c")], "page_id long, url string"), um.fit(um.labelled_urls(spark, 400)))]
+    plans = [mixing.mix(df)[1], mixing.mixed_documents(df.select("doc_id", "text", "source")), um.judge(spark.createDataFrame([(1, "http://a.b/c")], "page_id long, url string"), um.fit(spark.createDataFrame([(f"http://a{k}.{'net' if k % 2 else 'org/fr/'}", k % 2 == 0) for k in range(40)], "url string, accepted boolean")))]
     for plan in plans:
         assert not re.search("Python|Pandas|Arrow|MapIn", plan._jdf.queryExecution().executedPlan().toString())
 
@@ -543,7 +543,7 @@ def test_url_rules(spark):
         "http://internet/": ("internet", "/", None, None), "a://b://c/d": ("b:", "//c/d", None, None), "x://h?/net/": ("h", "", None, None), "http://": ("", "", None, "allow"),
     }
     pages = spark.createDataFrame([(k, u) for k, u in enumerate(urls)] + [(98, None), (None, "http://a.net/"), (5, "http://x.org/fr/z")], "page_id long, url string").withColumns({c: F.lit(1) for c in ("host", "path", "text", "score")})
-    model = um.fit(um.labelled_urls(spark, 1200))
+    model = um.fit(um.labelled_by_rules(spark.createDataFrame([(f"http://x{k}.{e}",) for k in range(60) for e in ("net/a", "org/fr/b")], "url string")))
     got = um.judge(pages, model).collect()
     assert len(got) == len(urls) + 3
     by = {r.page_id: r for r in got if r.page_id not in (5, None)}
@@ -555,12 +555,37 @@ def test_url_rules(spark):
     assert um.judge(pages.where("false"), model).count() == 0
 
 
-def test_url_classes(spark):
-    model = um.fit(um.labelled_urls(spark))
-    fresh = um.labelled_urls(spark, 12000).exceptAll(um.labelled_urls(spark, 8000))
-    rows = fresh.withColumn("page_id", F.monotonically_increasing_id())
-    judged = um.judge(rows, model, rules=()).join(rows.select("page_id", "accepted"), "page_id")
-    assert judged.agg(F.avg(((F.col("verdict") == "allow") == F.col("accepted")).cast("double"))).first()[0] > 0.95
+def rule_rows(spark, seed, n):
+    """URLs of shops under several endings, of which some rules decide a part: /offer/ is what rejected ones share."""
+    rng = random.Random(seed)
+    name = lambda: "".join(rng.choice(["ka", "lo", "mi", "su", "re", "tan"]) for _ in range(rng.randint(2, 4)))
+    rows = []
+    for k in range(n):
+        bad = k % 2 == 0
+        path = f"/offer/{rng.randint(1, 99)}?win" if bad else f"/{rng.choice(['about', 'read', 'learn'])}/{name()}"
+        rows.append((k, f"http://{name()}.{rng.choice(['xx', 'com']) if bad else rng.choice(['yy', 'com'])}{path}", not bad))
+    return spark.createDataFrame(rows, "page_id long, url string, accepted boolean")
+
+
+def test_rules_teach_the_models(spark):
+    """The rules decide hosts under xx and yy; what the models learn there holds for com."""
+    rules, rows = (("xx", "/", "block"), ("yy", "/", "allow")), rule_rows(spark, 1, 3000)
+    labelled = um.labelled_by_rules(rows, rules=rules)
+    assert {r.accepted for r in labelled.where("url LIKE '%.yy/%'").collect()} == {True} and labelled.where("url LIKE '%.com/%'").count() == 0
+    judged = um.judge(rows, um.fit(labelled), rules=rules).join(rows.select("page_id", "accepted"), "page_id")
+    rest = judged.where("rule IS NULL")
+    assert rest.count() > 1000
+    assert rest.agg(F.avg(((F.col("verdict") == "allow") == F.col("accepted")).cast("double"))).first()[0] > 0.95
+
+
+def test_long_repeated_and_unlearned_urls(spark):
+    model = um.fit(um.labelled_by_rules(rule_rows(spark, 2, 400), rules=(("xx", "/", "block"), ("yy", "/", "allow"))))
+    long = "http://a.com/" + "offer/" * 30_000
+    pages = spark.createDataFrame([(1, long), (2, long + "x"), *((3, "http://b.com/read/kalo"),) * 50], "page_id long, url string")
+    got = um.judge(pages, model, rules=()).collect()
+    assert len(got) == 52 and len({r.score for r in got if r.page_id == 3}) == 1 and abs(got[0].score) < 20
+    nothing = um.fit(rule_rows(spark, 3, 10).select("url", "accepted").where("accepted"))
+    assert {r.verdict for r in um.judge(pages, nothing, rules=()).collect()} == {"allow"}
 
 
 # pipeline
