@@ -13,6 +13,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -48,8 +49,11 @@ HINTS = {
 }
 _HINT = {word: name for name, words in HINTS.items() for word in words.split()}
 _CLAIM = re.compile(r"©|\(c\)|\ball rights reserved\b|\bcookies?\b|\bsubscribe\b|\bnewsletter\b|\bsign (?:in|up)\b|\blog ?in\b|\badvert|\bsponsored\b|\bprivacy\b|\bread more\b|\bshare\b|\brepl(?:y|ies)\b|\bcomments?\b", re.I)
-_TAG = re.compile(r"<(?:!--(?:>|->|.*?(?:--!?>|\Z))|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z))", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|data-y)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: Attributes: a quote counts after an equals sign only.
+_REST = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+"
+_TAG = re.compile(rf"<(?:!--(?:>|->|.*?(?:--!?>|\Z))|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)({_REST})(?:>|\Z))", re.S)
+_ATTRIBUTE = re.compile(r"([^\s=/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'][^\s]*)))?")
+_NAMES = frozenset("class id role aria-label data-y".split())
 _WORD = re.compile(r"[^\s_]+")
 _SPACE = re.compile(r"\s+")
 
@@ -57,17 +61,22 @@ _SPACE = re.compile(r"\s+")
 class Page:
     """The tree: for each node its parent, name, attributes, and a leaf's text and linked characters."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, labelled: bool = False):
         self.parent: list[int] = [-1]
         self.name: list[str] = ["#root"]
         self.hints: list[str] = [""]
         self.text: list[str | None] = [None]
         self.linked: list[float] = [0.0]
         self.label: list[int | None] = [None]
+        self.labelled = labelled
         self._parse(source)
 
     def _node(self, parent: int, name: str, attributes: str = "", text: str | None = None, linked: float = 0.0) -> int:
-        found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if "=" in attributes else {}
+        found: dict[str, str] = {}
+        if "=" in attributes:
+            for m in _ATTRIBUTE.finditer(attributes):
+                if m[1].lower() in _NAMES:
+                    found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
         words = re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", " ".join(v for k, v in found.items() if k != "data-y")).lower())
         hints = sorted({_HINT[w] for w in words if w in _HINT})
         self.parent.append(parent)
@@ -75,11 +84,14 @@ class Page:
         self.hints.append("+".join(hints))
         self.text.append(text)
         self.linked.append(linked)
-        self.label.append(int(found["data-y"]) if "data-y" in found else None)
+        self.label.append(int(found["data-y"]) if self.labelled and "data-y" in found else None)
         return len(self.parent) - 1
 
     def _parse(self, source: str) -> None:
+        """One pass over the source; open elements are found by name, so that depth costs nothing."""
         stack, run, in_link, links, at = [0], [], 0, 0, 0
+        places: dict[str, list[int]] = defaultdict(list)  # of the open elements in the stack, by name
+        unclosed: set[str] = set()  # elements that nothing further on closes
 
         def flush() -> None:
             nonlocal links
@@ -91,6 +103,17 @@ class Page:
                 run.clear()
                 links = 0
 
+        def close(place: int) -> None:
+            for k in stack[place:]:
+                places[self.name[k]].pop()
+            del stack[place:]
+
+        def after(name: str, pattern: str) -> re.Match | None:
+            found = re.compile(pattern, re.I).search(source, at) if name not in unclosed else None
+            if not found:
+                unclosed.add(name)
+            return found
+
         while at < len(source):
             match = _TAG.search(source, at)
             piece = source[at : match.start() if match else len(source)]
@@ -106,19 +129,18 @@ class Page:
             if match[1]:
                 if name == "a":
                     in_link = 0
-                elif name in BLOCKS and any(self.name[k] == name for k in stack[1:]):
+                elif places[name]:
                     flush()
-                    while self.name[stack.pop()] != name:
-                        pass
+                    close(places[name][-1])
                     in_link = 0
                 continue
             if name in RAW:
                 if not match[3].endswith("/") or name in ("script", "style", "title", "textarea"):
-                    end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(source, at)
+                    end = after(name, rf"</{name}\b[^>]*(?:>|\Z)")
                     if end:
                         at = end.end()
                     elif name == "head":
-                        body = re.compile(r"<body\b", re.I).search(source, at)
+                        body = after("#body", r"<body\b")
                         at = body.start() if body else at
                     elif name in ("script", "style", "textarea", "title"):
                         at = len(source)
@@ -132,16 +154,15 @@ class Page:
                 flush()
                 in_link = 0
                 if self.name[stack[-1]] == "p":
-                    stack.pop()
+                    close(len(stack) - 1)
                 ends, scope = CLOSES.get(name, ((), ()))
                 if ends:
-                    k = len(stack) - 1
-                    while k and self.name[stack[k]] not in scope:
-                        k -= 1
-                    own = [j for j in range(k + 1, len(stack)) if self.name[stack[j]] in ends]
+                    low = max((places[x][-1] for x in scope if places[x]), default=0)
+                    own = [places[x][k] for x in ends for k in [bisect_right(places[x], low)] if k < len(places[x])]
                     if own:
-                        del stack[own[0] :]
+                        close(min(own))
                 if name != "hr":
+                    places[name].append(len(stack))
                     stack.append(self._node(stack[-1], name, match[3]))
         flush()
 
@@ -169,13 +190,13 @@ class Model:
     brothers repeat each other and would count many times over.
     """
 
-    UP = 0.15
+    UP = 0.25
 
     def __init__(self, pages: list[str], smooth: float = 0.05):
         step = np.full((3, 3), smooth)
         seen: dict[str, dict] = defaultdict(lambda: defaultdict(lambda: np.zeros((3, 3))))
         for source in pages:
-            page = Page(source)
+            page = Page(source, labelled=True)
             state = []
             for k, (label, feats) in enumerate(zip(page.label, page.features())):
                 above = state[page.parent[k]] if k else FRAME
@@ -242,8 +263,17 @@ class Model:
         return " ".join(t for t, m in zip(page.text, marginals) if t and m[CONTENT] > 0.5)
 
 
-def labelled_pages(n: int = 400, seed: int = 3) -> list[str]:
-    """Pages with their states in ``data-y``, drawn from the ways in which sites lay pages out."""
+#: Names of elements in the labelled pages that tell nothing of their role.
+PLAIN_NAMES = "col col-8 col-md-9 row wrap wrapper inner outer box block grid cell panel pane area zone part unit item card module region layer container page site left right center l-1 css-1x2y"
+
+
+def labelled_pages(n: int = 900, seed: int = 3, plain_names: str = PLAIN_NAMES) -> list[str]:
+    """Pages with their states in ``data-y``, drawn from the ways in which sites lay pages out.
+
+    The article is an element of that name, one with a name that says so, a
+    ``main``, elements with names that tell nothing, or stands in the body
+    itself; some names mislead, and some of what isn't the article has none.
+    """
     rng = random.Random(seed)
     pick, chance = rng.choice, lambda p: rng.random() < p
     words = [pick("bcdfghlmnprstv") + pick("aeiou") + pick(["", "n", "r", "st", "la", "me"]) for _ in range(400)]
@@ -266,7 +296,13 @@ def labelled_pages(n: int = 400, seed: int = 3) -> list[str]:
     def links(k: int) -> str:
         return tag("ul", None, "".join(tag("li", None, f'<a href="/{pick(words)}">{pick(words)}</a>') for _ in range(k)))
 
+    def plain() -> str:
+        name = pick([pick(plain_names.split()), pick(words), f"{pick(words)}-{rng.randint(1, 12)}", f"{pick(plain_names.split())} {pick(words)}"])
+        return pick(["", f'class="{name}"', f'class="{name}"', f'id="{name}"'])
+
     def named(name: str, *hints: str) -> tuple[str, str]:
+        if hints[0] in ("nav", "page", "form", "talk") and chance(0.12):
+            return name, plain()
         word = pick(" ".join(HINTS[h] for h in hints).split())
         return name, pick([f'class="{word}"', f'id="{word}"', f'class="{word} {pick(words)}"', f'class="{pick(words)}-{word}"'])
 
@@ -311,10 +347,22 @@ def labelled_pages(n: int = 400, seed: int = 3) -> list[str]:
             body += f' <a href="/y">{pick(words)} {pick(words)}</a> ' + sentence(2, 9)
         return tag("p", None, ("<b>" if chance(0.1) else "") + body)
 
+    def item() -> str:
+        if chance(0.25):
+            return tag("li", None, f'<a href="/z">{sentence(1, 9)}</a>' + (" " + sentence(1, 9) if chance(0.4) else ""))
+        return tag("li", None, sentence(1, 20))
+
     def piece() -> str:
+        made = kind_of_piece()
+        if chance(0.06):  # a name that misleads, or an element that tells nothing
+            inside = pick([made, made + paragraph()])
+            return tag(pick(["div", "section"]), None, inside, pick([plain(), named("div", pick([h for h in HINTS if h != "text"]))[1]]))
+        return made
+
+    def kind_of_piece() -> str:
         return pick([
             paragraph, paragraph, paragraph, paragraph, paragraph, paragraph, lambda: tag(pick(["h2", "h3", "h4"]), None, heading(8)),
-            lambda: tag(pick(["ul", "ol"]), None, "".join(tag("li", None, sentence(1, 20)) for _ in range(rng.randint(1, 6)))),
+            lambda: tag(pick(["ul", "ol"]), None, "".join(item() for _ in range(rng.randint(1, 6)))),
             lambda: tag("blockquote", None, pick([prose(), paragraph()])), lambda: tag("pre", None, sentence(3, 20)),
             lambda: tag("table", None, "".join(tag("tr", None, "".join(tag("td", None, sentence(1, 4)) for _ in range(3))) for _ in range(3))),
             lambda: tag("figure", None, "<img src=x>" + tag("figcaption", None, sentence(2, 12))), lambda: tag("div", None, prose()), lambda: tag("section", None, paragraph() + paragraph()),
@@ -330,9 +378,21 @@ def labelled_pages(n: int = 400, seed: int = 3) -> list[str]:
             if chance(p):
                 body.insert(rng.randint(0, len(body)), extra())
         inner = title + "".join(body)
+        way = rng.random()
+        if way < 0.1:  # in the body itself
+            return "".join(re.sub(r"^<(\w+)(?! data-y)", r'<\1 data-y="1"', x) for x in ([title] if title else []) + body)
         if chance(0.25):
-            inner = tag("div", 1, inner, pick(["", named("div", "text")[1]]))
-        return tag("article", 1, inner, pick(["", "", named("", "text")[1]])) if chance(0.65) else tag(pick(["div", "div", "section", "main"]), 1, inner, named("div", "text")[1])
+            inner = tag("div", 1, inner, pick([plain(), named("div", "text")[1]]))
+        if way < 0.22:
+            return tag("main", 1, inner, plain())
+        if way < 0.4:
+            inner = tag("div", 1, inner, plain())
+            for _ in range(pick([0, 1, 1, 2])):
+                inner = tag(pick(["div", "div", "section", "main"]), pick([1, 2]), inner, plain())
+            return inner
+        if way < 0.75:
+            return tag("article", 1, inner, pick(["", "", plain(), named("", "text")[1]]))
+        return tag(pick(["div", "div", "section", "main"]), 1, inner, named("div", "text")[1])
 
     out = []
     for _ in range(n):
@@ -342,10 +402,14 @@ def labelled_pages(n: int = 400, seed: int = 3) -> list[str]:
         rng.shuffle(after)
         middle, foot = article() if chance(0.97) else "", footer() if chance(0.8) else ""
         if chance(0.3):
-            middle = tag(pick(["main", "div"]), 2, middle + ("".join(after) if chance(0.5) else ""), pick(["", 'id="wrapper"', 'class="container"']))
+            inside = chance(0.5)
+            middle = tag(pick(["main", "div"]), 2, middle + ("".join(after) if inside else ""), plain())
+            for _ in range(pick([0, 0, 1, 3])):
+                middle = tag("div", 2, middle, plain())
+            after = [] if inside else after
         body = "".join(before) + middle + "".join(after) + foot
-        if chance(0.25):
-            body = tag("div", 2, body, pick(["", 'class="page"', 'id="site"']))
+        for _ in range(pick([0, 0, 0, 0, 1, 2, 4])):
+            body = tag("div", 2, body, plain())
         out.append(f'<!DOCTYPE html><html data-y="2"><head><title>x</title></head><body data-y="2">{body}{pick(["", "</body></html>"])}')
     return out
 

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 import re
 import struct
+import sys
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -17,6 +20,9 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from lectern.llm import html_graph, language_bloom as lb, mixing, progressive_jpeg as pj, url_markov as um
 
+sys.path.insert(0, os.path.dirname(__file__))
+import layouts  # noqa: E402
+
 # mixing
 
 
@@ -166,15 +172,31 @@ def test_marginals_are_exact():
 
 def test_held_out_pages():
     wrong = total = 0
-    for source in html_graph.labelled_pages(120, seed=41):
-        page, state = html_graph.Page(source), []
+    for source in html_graph.labelled_pages(120, seed=41, plain_names="north south k1 k2-x tile slab frame-9"):
+        page, state = html_graph.Page(source, labelled=True), []
         for k, label in enumerate(page.label):
             above = state[page.parent[k]] if k else html_graph.FRAME
             state.append(label if label is not None else above if page.text[k] is None or above != html_graph.FRAME else html_graph.BOILERPLATE)
         for k, m in enumerate(html_graph.trained().marginals(page)):
             if page.text[k]:
                 total, wrong = total + 1, wrong + ((m[html_graph.CONTENT] > 0.5) != (state[k] == html_graph.CONTENT))
-    assert total > 1500 and wrong <= 0.01 * total
+    assert total > 1500 and wrong <= 0.03 * total
+
+
+def test_layouts_that_training_does_not_make():
+    missed = {name for name, (source, text) in layouts.PAGES.items() if html_graph.extract_text(source) != text}
+    assert missed <= {"table layout", "misleading names"}
+    words = [(Counter(html_graph.extract_text(s).split()), Counter(t.split())) for s, t in layouts.PAGES.values()]
+    assert sum((a & b).total() for a, b in words) / sum(max(a.total(), b.total()) for a, b in words) > 0.95
+
+
+def test_deep_and_unclosed_pages_take_linear_time():
+    began = time.process_time()
+    article = f"<article><p>{layouts.A}</p><p>{layouts.B}</p></article>"
+    assert html_graph.extract_text("<div>" * 12 + article + "</div>" * 12) == f"{layouts.A} {layouts.B}"
+    for source in ("<div>" * 50_000 + article + "</div>" * 50_000, "<button>x" * 30_000, "<ul>" + "<div>" * 30_000 + "<li>x" * 30_000, "<p a='" * 20_000, "<" * 50_000, "<a b=" * 30_000, "<p " + "x='" * 50_000):
+        html_graph.extract_text(source)
+    assert time.process_time() - began < 30
 
 
 def test_extract_table(spark):
