@@ -190,7 +190,7 @@ class Model:
     brothers repeat each other and would count many times over.
     """
 
-    UP = 0.25
+    UP = 0.4
 
     def __init__(self, pages: list[str], smooth: float = 0.05):
         step = np.full((3, 3), smooth)
