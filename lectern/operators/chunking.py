@@ -39,36 +39,34 @@ def pieces(text: str, budget: int) -> list[tuple[int, int]]:
     return out
 
 
+def _end_of_chunk(begin: int, used: int, needs: list[int], sizes: list[int], budget: int) -> int:
+    """The first piece that a chunk from ``begin`` doesn't take, where ``used`` characters are spent; it takes one at least."""
+    used, at = used + sizes[begin], begin + 1
+    while at < len(sizes) and (not used or used + needs[at] <= budget):
+        used, at = used + sizes[at], at + 1
+    return at
+
+
 def pack(paragraphs: Iterable[tuple[int, str]], budget: int, overlap: int = 0) -> list[tuple[str, list[tuple[int, int, int]]]]:
     """Greedy chunks (text, spans) of paragraphs (id, text) in order.
 
-    The budget counts the characters of the pieces, not the spaces that join
-    them.  A paragraph beyond the budget starts a chunk of its own, and its
-    last piece stays open for what follows.  With an overlap, a chunk begins
-    with the last characters of the one before, which carry no spans.
+    All pieces are laid out first; a chunk is a run of them.  The budget counts
+    the characters of the pieces, not the spaces that join them, and the first
+    piece of a paragraph needs room for the whole paragraph: one beyond the
+    budget starts a chunk of its own, and its last piece stays open for what
+    follows.  With an overlap, a chunk begins with the last characters of the
+    one before, which carry no spans.
     """
-    chunks: list[tuple[str, list]] = []
-    held: list[str] = []
-    spans: list[tuple[int, int, int]] = []
-    size = 0
-
-    def close() -> None:
-        nonlocal held, spans, size
-        if spans:  # a chunk of nothing but an overlap is none
-            chunks.append((" ".join(held), spans))
-            tail = chunks[-1][0][-overlap:] if overlap else ""
-            held, spans, size = ([tail] if tail else []), [], len(tail)
-
-    for key, text in paragraphs:
-        if size and size + len(text) > budget:
-            close()
-        for begin, end in pieces(text, budget):
-            if size and size + end - begin > budget:
-                close()
-            held.append(text[begin:end])
-            spans.append((key, begin, end))
-            size += end - begin
-    close()
+    laid = [(key, text, b, e, e - b if k else len(text)) for key, text in paragraphs for k, (b, e) in enumerate(pieces(text, budget))]
+    needs, sizes = [x[4] for x in laid], [e - b for _, _, b, e, _ in laid]
+    chunks: list[tuple[str, list[tuple[int, int, int]]]] = []
+    begin, tail = 0, ""
+    while begin < len(laid):
+        end = _end_of_chunk(begin, len(tail), needs, sizes, budget)
+        own = laid[begin:end]
+        text = " ".join(([tail] if tail else []) + [t[b:e] for _, t, b, e, _ in own])
+        chunks.append((text, [(key, b, e) for key, _, b, e, _ in own]))
+        begin, tail = end, text[-overlap:] if overlap else ""
     return chunks
 
 

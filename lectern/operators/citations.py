@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import arxiv_key, doi_key, find_arxiv, find_doi, phrase_udf, reference_phrase_udf, title_matches
+from ..functions.text import LONG_TITLE_TOKENS, arxiv_key, doi_key, find_arxiv, find_doi, phrase_udf, reference_phrase_udf, title_matches
 
-#: Titles that the phrase stage sends to all tasks; more are joined by an anchor word.
-BROADCAST_TITLES = 50_000
+_SPACE = "[ \\t\\n\\x0B\\f\\r]+"
 
 
 def _keyed(papers: DataFrame, key: Column) -> DataFrame:
@@ -15,20 +14,24 @@ def _keyed(papers: DataFrame, key: Column) -> DataFrame:
     return papers.select(key.alias("key"), "paper_id").where("key IS NOT NULL AND key <> ''").groupBy("key").agg(F.max("paper_id").alias("dst"))
 
 
+def _longest(words: Column) -> Column:
+    """The longest of some words, the first by text among equals; null without any."""
+    return F.get(F.array_sort(words, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)), 0)
+
+
 def contained_titles(references: DataFrame, titles: DataFrame) -> DataFrame:
     """(edge_id, paper_id) where a title's phrase is in a reference's.
 
-    references: edge_id, h; titles: paper_id, t.  A few titles are compared
-    with each reference; many are met through the reference's words: a title
-    matches only where its longest word (of those that must be there) occurs.
+    references: edge_id, h; titles: paper_id, t of four words or more.  A title
+    meets a reference only through an anchor: the longest of the inner words
+    that must be there.  The first and the last word of a phrase may be part of
+    a longer word of the reference, inner ones may not.
     """
-    if titles.limit(BROADCAST_TITLES + 1).count() <= BROADCAST_TITLES:
-        return references.join(F.broadcast(titles), title_matches(F.col("t"), F.col("h"))).select("edge_id", "paper_id")
     words = F.split("t", " ")
-    needed = F.when(F.size(words) >= 8, F.slice(words, F.lit(1), F.size(words) - 2)).otherwise(words)
-    anchored = titles.withColumn("word", F.array_sort(needed, lambda a, b: F.length(b) - F.length(a))[0])
-    spread = references.withColumn("word", F.explode(F.array_distinct(F.split(F.regexp_replace("h", "[^a-z0-9]+", " "), " "))))
-    return spread.join(anchored, "word").where(title_matches(F.col("t"), F.col("h"))).select("edge_id", "paper_id").distinct()
+    needed = F.when(F.size(words) >= LONG_TITLE_TOKENS, F.size(words) - 2).otherwise(F.size(words))
+    anchored = titles.withColumn("word", _longest(F.slice(words, F.lit(2), F.greatest(needed - 2, F.lit(0)))))
+    spread = references.select("edge_id", "h", F.explode(F.array_distinct(F.split("h", " "))).alias("word"))
+    return spread.join(anchored, "word").where(title_matches(F.col("t"), F.col("h"))).select("edge_id", "paper_id")
 
 
 def resolve(edges: DataFrame, papers: DataFrame) -> DataFrame:
@@ -67,23 +70,26 @@ def resolution_counts(resolved: DataFrame) -> DataFrame:
 def containment(documents: DataFrame, phrases: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
     """(item_id, doc_id) where a document contains a phrase verbatim.
 
-    phrases: item_id, text.  They are sent to all tasks only if their texts
-    fit ``max_bytes``; otherwise they are sent block by block.
+    phrases: item_id, text.  A phrase meets a document through an anchor, the
+    longest of its inner words between white space, which the document must
+    have as a word; then the texts are compared.  Phrases of one or two words
+    have no such anchor: they are compared with each document, and sent to the
+    tasks in blocks of ``max_bytes``.
     """
-    items = phrases.select("item_id", F.col("text").alias("needle"))
-    total = items.agg(F.sum(F.octet_length("needle"))).first()[0] or 0
+    items = phrases.where("text IS NOT NULL").select("item_id", F.col("text").alias("needle"))
+    parts = F.split("needle", _SPACE)
+    items = items.withColumn("word", _longest(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0)))))
     docs = documents.select("doc_id", "text")
-    if total <= max_bytes:
-        return docs.join(F.broadcast(items), F.contains(F.col("text"), F.col("needle"))).select("item_id", "doc_id")
-    return _by_blocks(docs, items, total, max_bytes)
-
-
-def _by_blocks(docs: DataFrame, items: DataFrame, total: int, max_bytes: int) -> DataFrame:
-    """The phrases in blocks that fit, the documents read once a block."""
-    blocks = -(-2 * total // max_bytes)
-    out = None
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", _SPACE))).alias("word"))
+    anchors = items.where("word IS NOT NULL")
+    near = words.join(anchors.select("item_id", "word"), "word").select("item_id", "doc_id").distinct()
+    met = docs.join(near, "doc_id").join(anchors.select("item_id", "needle").distinct(), "item_id").where(F.contains("text", "needle")).select("item_id", "doc_id")
+    short = items.where("word IS NULL").select("item_id", "needle")
+    total = short.agg(F.sum(F.octet_length("needle"))).first()[0]
+    if total is None:
+        return met
+    blocks = 1 + 2 * total // max_bytes
     for k in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        found = docs.join(F.broadcast(own), F.contains(F.col("text"), F.col("needle"))).select("item_id", "doc_id")
-        out = found if out is None else out.unionByName(found)
-    return out
+        own = short.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
+        met = met.unionByName(docs.join(F.broadcast(own), F.contains(F.col("text"), F.col("needle"))).select("item_id", "doc_id"))
+    return met

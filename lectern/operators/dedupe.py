@@ -45,3 +45,20 @@ def import_plan(batch: DataFrame, known: DataFrame, excluded: DataFrame) -> Data
     rows = rows.withColumn("reason", reason)
     action = F.when(F.col("reason").isNull(), "add").when(F.col("reason") == "title twin is held out", "block").otherwise("skip")
     return rows.select(*batch.columns, action.alias("action"), "reason")
+
+
+def apply_import(plan: DataFrame, manifest: DataFrame, provenance: DataFrame, *, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The manifest and the provenance with a plan's additions; written only where a folder is given.
+
+    plan: ``import_plan``; manifest: external_id, sha256, title; provenance:
+    external_id, sha256, action, reason.  Without a folder nothing is touched:
+    a dry run.  The new tables go beside the old ones, as ``manifest`` and
+    ``provenance`` in a folder that isn't there yet.
+    """
+    added = plan.where("action = 'add'").select(*manifest.columns)
+    told = plan.select(*provenance.columns)
+    out = manifest.unionByName(added), provenance.unionByName(told)
+    if folder is not None:
+        for name, rows in zip(("manifest", "provenance"), out):
+            rows.write.parquet(f"{folder}/{name}")
+    return out

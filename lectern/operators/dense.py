@@ -14,6 +14,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
 
 
+def unit(vector: Column) -> Column:
+    """The vector at length 1, in double precision; null for a zero vector."""
+    size = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+    return F.when(size > 0, F.transform(vector, lambda x: x.cast("double") / size))
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, *, top_k: int = 5, batch: int = 5000, measure=l2) -> DataFrame:
     """(query_id, vec_id, distance, rank) of the nearest vectors, another id than the query's.
 

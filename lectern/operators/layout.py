@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import dehyphenate, find_arxiv, find_doi, latest_year, section_kind
+from ..functions.text import collapse, dehyphenate, find_arxiv, find_doi, latest_year, section_kind
 
 # Headings that papers share, numbered headings, and the stamp in the margin.
 KNOWN_HEADINGS = (
@@ -61,16 +61,23 @@ def front_matter(lines: DataFrame) -> DataFrame:
     return head.join(titles, "doc_id", "left").select("doc_id", "title", venue(F.col("head")).alias("venue"), latest_year(F.col("head")).alias("year"), find_doi(F.col("head")).alias("doi"), find_arxiv(F.col("head")).alias("arxiv_id"))
 
 
+# What ends a venue, the signs around it, its length, and where a stamp counts.
+VENUE_TAIL, VENUE_SIGNS = r"(?s)(?:,?\s+VOL\.|,?\s+NO\.|\s+\d{4}\b).*$", r"^[ ,.;:-]+|[ ,.;:-]+$"
+VENUE_LENGTH, STAMP_WITHIN = (4, 80), 400
+
+
 def venue(head: Column) -> Column:
     """The first plausible venue of a running header; a stamped page is an arXiv preprint; else null."""
-    tries = []
-    for pattern in VENUES:
-        found = F.trim(F.regexp_replace(F.regexp_extract(head, pattern, 0), r"\s+", " "))
-        cut = F.regexp_replace(found, r"(?s)(?:,?\s+VOL\.|,?\s+NO\.|\s+\d{4}\b).*$", "")
-        cut = F.regexp_replace(cut, r"^[ ,.;:-]+|[ ,.;:-]+$", "")
-        tries.append(F.when((found != "") & F.length(cut).between(4, 80), cut))
-    stamped = F.regexp_like(head, F.lit(STAMP)) | F.contains(F.lower(F.left(head, F.lit(400))), F.lit("arxiv"))
-    return F.coalesce(*tries, F.when(stamped, F.lit("arXiv preprint")))
+    found = F.array(*[F.regexp_extract(head, pattern, 0) for pattern in VENUES])
+    bare = F.transform(found, lambda v: F.regexp_replace(F.regexp_replace(collapse(v), VENUE_TAIL, ""), VENUE_SIGNS, ""))
+    plausible = F.filter(bare, lambda v: F.length(v).between(*VENUE_LENGTH))
+    stamped = F.regexp_like(head, F.lit(STAMP)) | F.contains(F.lower(F.left(head, F.lit(STAMP_WITHIN))), F.lit("arxiv"))
+    return F.coalesce(F.get(plausible, 0), F.when(stamped, F.lit("arXiv preprint")))
+
+
+def page_counts(lines: DataFrame) -> DataFrame:
+    """doc_id, page_count of layout lines."""
+    return lines.groupBy("doc_id").agg(F.max("page").alias("page_count"))
 
 
 def inline_abstract(paragraph: Column) -> Column:

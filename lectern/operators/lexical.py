@@ -14,12 +14,16 @@ def _terms(text: Column, stemmed: bool) -> Column:
     return stems_udf(terms(text)) if stemmed else terms(text)
 
 
-def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", stemmed: bool = False) -> DataFrame:
+def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", stemmed: bool = False, wanted: DataFrame | None = None) -> DataFrame:
     """chunk, term, tf: the index. Stored once for a configuration, it serves any number of queries.
 
     stemmed: English stems without stop words; the queries must be made alike.
+    wanted: the terms (term) that will be asked for, if they are known already;
+    all others are left out before anything is grouped.
     """
     rows = chunks.select(F.col(id_col).alias("chunk_id"), F.explode(_terms(F.col(text_col), stemmed)).alias("term"))
+    if wanted is not None:
+        rows = rows.join(wanted.select("term").distinct(), "term", "left_semi")
     return rows.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
 
 

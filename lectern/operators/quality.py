@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import collapse
 
+#: A caption with fewer characters goes on in the next line.
+SHORT_CAPTION = 25
 MERGED_CELL = r"\d+\.\d+(?:\s+\d+\.\d+){2,}"
 
 
@@ -80,11 +82,42 @@ def captions_near(tables: DataFrame, lines: DataFrame, above: float = 80.0, asid
     t, n = tables.alias("t"), lines.alias("n")
     near = F.expr(f"t.page_id = n.page_id AND n.y1 >= t.y0 - {above} AND n.y0 <= t.y1 + {above} AND n.x1 >= t.x0 - {aside} AND n.x0 <= t.x1 + {aside}")
     pattern = r"^\s*(?:TABLE|Table)\s+([IVXLC]+|\d+)\b[.:]?\s*(.*)$"
-    rows = t.join(n, near).select("t.page_id", "t.box_id", "n.ordinal", F.regexp_extract("n.text", pattern, 1).alias("no"), F.trim(F.regexp_extract("n.text", pattern, 2)).alias("rest")).where("no <> ''")
+    found = t.join(n, near).select("t.page_id", "t.box_id", "n.ordinal", "n.text")
+    order = Window.partitionBy("page_id", "box_id").orderBy("ordinal")
+    part = lambda c, k: F.trim(F.regexp_extract(c, pattern, k))
+    rows = found.select("page_id", "box_id", "ordinal", part("text", 1).alias("no"), part("text", 2).alias("rest"), F.trim(F.lead("text").over(order)).alias("after")).where("no <> ''")
+    # a caption usually goes on in the next line
+    goes_on = (F.length("rest") < SHORT_CAPTION) & F.col("after").isNotNull() & (part("after", 1) == "")
+    rows = rows.withColumn("rest", F.when(goes_on, F.trim(F.concat_ws(" ", "rest", "after"))).otherwise(F.col("rest")))
     first = rows.groupBy("page_id", "box_id").agg(F.min_by(F.struct("no", "rest"), "ordinal").alias("f"))
     return first.select("page_id", "box_id", F.concat(F.lit("Table "), F.col("f.no")).alias("label"), F.nullif("f.rest", F.lit("")).alias("caption"))
 
 
+def table_grids(candidates: DataFrame, captions: DataFrame) -> DataFrame:
+    """Tables of a detector's candidates: page_id, box_id, ordinal, label, caption, header, rows, row_count, col_count.
+
+    candidates: page_id, box_id, x0, y0, x1, y1, header and rows (arrays of
+    cells); captions: ``captions_near``.  Blank rows go, and so does a first
+    row that repeats the header.  Of what looks like a table, the largest of
+    overlapping ones stays; a body of one row needs a caption.
+    """
+    filled = F.filter("rows", lambda r: F.exists(r, lambda c: F.coalesce(c, F.lit("")) != ""))
+    rows = candidates.withColumn("rows", filled).where(looks_tabular(F.col("rows")))
+    repeated = (F.size("header") > 0) & F.get("rows", 0).eqNullSafe(F.col("header"))
+    rows = rows.withColumn("rows", F.when(F.coalesce(repeated, F.lit(False)), F.slice("rows", F.lit(2), F.greatest(F.size("rows") - 1, F.lit(0)))).otherwise(F.col("rows"))).where("size(rows) > 0")
+    rows = rows.join(captions, ["page_id", "box_id"], "left").where("size(rows) >= 2 OR label IS NOT NULL OR caption IS NOT NULL")
+    rows = rows.join(largest_without_overlap(rows), ["page_id", "box_id"], "left_semi")
+    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    ordinal = (F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc(area), "box_id")) - 1).alias("ordinal")
+    return rows.select("page_id", "box_id", ordinal, "label", "caption", "header", "rows", F.size("rows").alias("row_count"), F.array_max(F.transform("rows", lambda r: F.size(r))).alias("col_count"))
+
+
+def more_than_baseline(tables: DataFrame, baseline: int) -> DataFrame:
+    """merged, huge, worse: tables (rows) with cells that ran together, implausibly large ones, and whether either is worse than known."""
+    merged, huge = F.count_if(merged_cells(F.col("rows"))), F.count_if(huge_grid(F.col("rows")))
+    return tables.agg(merged.alias("merged"), huge.alias("huge"), ((merged > baseline) | (huge > 0)).alias("worse"))
+
+
 def self_edges(edges: DataFrame) -> DataFrame:
     return edges.where("dst_paper_id = src_paper_id")
 

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as X
-from ..operators import chunking, citations, comparison, dedupe, dense, evaluation, fusion, layout, lexical, metrics, quality, splits, state
+from ..operators import audits, chunking, citations, comparison, dedupe, dense, evaluation, fusion, layout, lexical, metrics, quality, retrieval, splits, state
 from ..sources import markup, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,10 +20,11 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 _DEV = "SELECT * FROM documents WHERE doc_id % 3 <> 0"
-_PARAGRAPHS = """
+_STRIDE = tables.STRIDE
+_PARAGRAPHS = f"""
 p0 AS (SELECT doc_id, unnest(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS text,
               generate_subscripts(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), 1) - 1 AS ordinal FROM documents),
-par AS (SELECT doc_id AS paper_id, doc_id * 100000 + ordinal // 5 AS section_id, doc_id * 100000 + ordinal AS paragraph_id, ordinal, text FROM p0)"""
+par AS (SELECT doc_id AS paper_id, doc_id * {_STRIDE} + ordinal // 5 AS section_id, doc_id * {_STRIDE} + ordinal AS paragraph_id, ordinal, text FROM p0)"""
 _TERMS = "regexp_extract_all(lower({}), '[a-z0-9]+')"
 #: Postings of development paragraphs, and the questions' distinct terms.
 _INDEX = f"""WITH {_PARAGRAPHS},
@@ -34,7 +35,7 @@ q AS (SELECT query_id, len(t) AS n_terms, unnest(t) AS term FROM q0),
 found AS (SELECT query_id, chunk_id, count(*) AS matched, sum(tf)::BIGINT AS tf, any_value(n_terms) AS n_terms FROM q JOIN post USING (term) GROUP BY ALL)"""
 _GOLD = "gold AS (SELECT item_id AS query_id, doc_id AS paper_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 _RANKED = f"""{_INDEX}, hits AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, tf DESC, chunk_id) AS rank FROM found),
-best AS (SELECT query_id, chunk_id // 100000 AS paper_id, min(rank) AS best FROM hits WHERE rank <= 20 GROUP BY ALL),
+best AS (SELECT query_id, chunk_id // {_STRIDE} AS paper_id, min(rank) AS best FROM hits WHERE rank <= 20 GROUP BY ALL),
 ranked AS (SELECT query_id, paper_id, row_number() OVER (PARTITION BY query_id ORDER BY best, paper_id) AS rank FROM best QUALIFY rank <= 5),
 {_GOLD},
 typed AS (SELECT query_id, ['single_hop', 'multi_hop', 'comparison'][1 + query_id % 3] AS type, count(*) AS n_rel FROM gold GROUP BY ALL),
@@ -100,13 +101,21 @@ def paragraph_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return chunks.select("paper_id", "section_id", "ordinal", F.inline("spans"))
 
 
-@_query(f"WITH {_PARAGRAPHS} SELECT count(*) AS spans, 0 AS faults FROM par WHERE paper_id % 3 <> 0")
+_COLLAPSED = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
+
+
+@_query(f"""WITH {_PARAGRAPHS}, f AS (SELECT CASE WHEN paragraph_id % 50 = 0 THEN 'range' WHEN paragraph_id % 50 = 1 AND NOT contains({_COLLAPSED.format('reverse(text)')}, {_COLLAPSED.format('text')}) THEN 'not contained' END AS fault, paper_id FROM par WHERE paper_id % 3 <> 0)
+SELECT count(*) AS spans, count(*) FILTER (WHERE fault = 'range') AS out_of_range, count(*) FILTER (WHERE fault = 'not contained') AS not_contained FROM f""")
 def span_integrity(spark: SparkSession, folder: str) -> DataFrame:
+    """Some spans end three characters late, some chunks hold their text backwards."""
     paragraphs = _dev_paragraphs(spark, folder)
     chunks = chunking.paragraph_chunks(paragraphs)
     spans = chunking.spans_of(chunks)
-    faults = quality.span_faults(spans, paragraphs, chunks).agg(F.count("*").alias("faults"))
-    return spans.agg(F.count("*").alias("spans")).crossJoin(faults)  # one row each
+    spans = spans.withColumn("char_end", F.col("char_end") + F.when(F.col("paragraph_id") % 50 == 0, 3).otherwise(0))
+    backwards = F.get("spans", 0)["paragraph_id"] % 50 == 1
+    found = quality.span_faults(spans, paragraphs, chunks.withColumn("text", F.when(backwards, F.reverse("text")).otherwise(F.col("text"))))
+    kinds = found.agg(F.count_if(F.col("fault") == "range").alias("out_of_range"), F.count_if(F.col("fault") == "not contained").alias("not_contained"))
+    return spans.agg(F.count("*").alias("spans")).crossJoin(kinds)  # one row each
 
 
 @_query()
@@ -120,8 +129,9 @@ def section_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _search(spark: SparkSession, folder: str, logic: str, top_k: int) -> DataFrame:
-    index = lexical.postings(_dev_paragraphs(spark, folder), "paragraph_id")
-    return lexical.search(lexical.query_terms(_questions(spark, folder)), index, top_k=top_k, term_logic=logic)
+    asked = lexical.query_terms(_questions(spark, folder))
+    index = lexical.postings(_dev_paragraphs(spark, folder), "paragraph_id", wanted=asked)
+    return lexical.search(asked, index, top_k=top_k, term_logic=logic)
 
 
 @_query(f"{_INDEX} SELECT query_id, chunk_id, matched, tf, row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, tf DESC, chunk_id) AS rank FROM found QUALIFY rank <= 5")
@@ -136,8 +146,50 @@ def lexical_all(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query()
 def lexical_stemmed(spark: SparkSession, folder: str) -> DataFrame:
-    index = lexical.postings(_dev_paragraphs(spark, folder), "paragraph_id", stemmed=True)
-    return lexical.search(lexical.query_terms(_questions(spark, folder), stemmed=True), index, term_logic="any")
+    asked = lexical.query_terms(_questions(spark, folder), stemmed=True)
+    return lexical.search(asked, lexical.postings(_dev_paragraphs(spark, folder), "paragraph_id", stemmed=True, wanted=asked), term_logic="any")
+
+
+def _corpus(spark: SparkSession, folder: str) -> retrieval.Corpus:
+    """A document's language is its corpus; even and odd paragraphs are chunks of two configurations."""
+    papers = _papers(spark, folder).select("paper_id", "external_id", F.col("lang").alias("corpus_id"))
+    chunks = _paragraphs(spark, folder).select(F.col("paragraph_id").alias("chunk_id"), "paper_id", "text", F.when(F.col("ordinal") % 2 == 0, "even").otherwise("odd").alias("config_fingerprint"))
+    return retrieval.Corpus(papers, chunks, _split(spark, folder))
+
+
+_WORDS = f"""WITH {_PARAGRAPHS},
+tok AS (SELECT paragraph_id AS chunk_id, paper_id, ordinal, lang, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS pos FROM (SELECT par.*, lang, {_TERMS.format('par.text')} AS t FROM par JOIN documents ON doc_id = paper_id)),
+q0 AS (SELECT item_id AS query_id, list_distinct({_TERMS.format('text')}) AS t FROM benchmark),
+q AS (SELECT query_id, len(t) AS n_terms, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS t FROM q0)"""
+_COVERS = _WORDS + """,
+h AS (SELECT query_id, chunk_id, paper_id, n_terms, pos, q.t, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY pos) - 1 AS i FROM tok JOIN q USING (term) WHERE {where}),
+full_ AS (SELECT query_id, chunk_id FROM h GROUP BY query_id, chunk_id, n_terms HAVING count(DISTINCT t) = n_terms),
+hh AS (SELECT h.* FROM h SEMI JOIN full_ USING (query_id, chunk_id)),
+x AS (SELECT hh.query_id, hh.chunk_id, hh.paper_id, hh.n_terms, hh.i, hh.pos, q.t FROM hh JOIN q ON q.query_id = hh.query_id),
+l AS (SELECT x.*, b.i AS li, b.pos AS lpos FROM x ASOF JOIN hh b ON x.query_id = b.query_id AND x.chunk_id = b.chunk_id AND x.t = b.t AND x.i >= b.i),
+c AS (SELECT query_id, chunk_id, paper_id, i, pos, min(li) AS p, min(lpos) AS ppos FROM l GROUP BY query_id, chunk_id, paper_id, n_terms, i, pos HAVING count(*) = n_terms),
+covers AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id, p ORDER BY i) = 1),
+s AS (SELECT query_id, chunk_id, paper_id, round(sum(0.1 / (1 + (pos - ppos) - (i - p))), 9) AS score FROM covers GROUP BY ALL)
+"""
+
+
+@_query(_COVERS.format(where="lang = 'en' AND ordinal % 2 = 0 AND paper_id % 3 <> 0") + "SELECT query_id, chunk_id, paper_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s QUALIFY rank <= 5")
+def ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    hits = retrieval.search(_corpus(spark, folder), _questions(spark, folder), corpus_id="en", config_fingerprint="even")
+    return hits.select("query_id", "chunk_id", "paper_id", F.round("score", 6).alias("score"), "rank")
+
+
+@_query(_WORDS + ", s AS (SELECT query_id, chunk_id, paper_id, round(count(*) * 0.1, 6) AS score FROM tok JOIN q USING (term) WHERE lang = 'de' GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s QUALIFY rank <= 3")
+def ranked_search_with_holdout(spark: SparkSession, folder: str) -> DataFrame:
+    hits = retrieval.search(_corpus(spark, folder), _questions(spark, folder), top_k=3, corpus_id="de", term_logic="any", include_holdout=True)
+    return hits.select("query_id", "chunk_id", "paper_id", F.round("score", 6).alias("score"), "rank")
+
+
+@_query(_WORDS + """, m AS (SELECT query_id, chunk_id, count(DISTINCT term) AS n, any_value(n_terms) AS n_terms FROM tok JOIN q USING (term) WHERE lang = 'fr' AND paper_id % 3 <> 0 GROUP BY ALL)
+SELECT 'all' AS term_logic, count(*) AS probes, count(*) FILTER (WHERE item_id NOT IN (SELECT query_id FROM m WHERE n = n_terms)) AS empty FROM benchmark
+UNION ALL SELECT 'any', count(*), count(*) FILTER (WHERE item_id NOT IN (SELECT query_id FROM m)) FROM benchmark""")
+def empty_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return audits.empty_rates(_corpus(spark, folder), _questions(spark, folder), corpus_id="fr")
 
 
 def _vectors(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -175,7 +227,7 @@ def gold_passages(spark: SparkSession, folder: str) -> DataFrame:
 
 def _scored(spark: SparkSession, folder: str) -> DataFrame:
     hits = _search(spark, folder, "any", 5 * evaluation.OVER_FETCH)
-    owners = _paragraphs(spark, folder).select(F.col("paragraph_id").alias("chunk_id"), "paper_id")
+    owners = hits.select("chunk_id", F.floor(F.col("chunk_id") / _STRIDE).alias("paper_id")).distinct()  # a paragraph's id holds its paper's
     ranked = fusion.first_per_paper(hits, owners, 5)
     gold = gold_passages(spark, folder).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("paper_id"), F.lit(1.0).alias("relevance"), F.col("doc_id").alias("pos"))
     kinds = F.array(*[F.lit(t) for t in evaluation.QUESTION_TYPES[:3]])
@@ -313,12 +365,6 @@ def identifiers(spark: SparkSession, folder: str) -> DataFrame:
     return tables.read_table(spark, folder, "benchmark").select("item_id", X.find_doi(raw).alias("doi"), X.find_arxiv(raw).alias("arxiv"), X.latest_year(raw).alias("year"))
 
 
-@_query("""WITH b AS (SELECT p_partkey // 20 AS page_id, p_partkey AS box_id, (p_size % 10) * 10.0 AS x0, p_partkey % 5 * 10.0 AS y0, (p_size % 10) * 10.0 + 5 + p_size AS x1, p_partkey % 5 * 10.0 + 5 + p_retailprice % 7 AS y1 FROM part)
-SELECT page_id, count(*) AS boxes FROM b GROUP BY 1""")
-def table_boxes(spark: SparkSession, folder: str) -> DataFrame:
-    return _boxes(spark, folder).groupBy("page_id").agg(F.count("*").alias("boxes"))
-
-
 def _boxes(spark: SparkSession, folder: str) -> DataFrame:
     x, y = F.col("p_size") % 10 * 10.0, F.col("p_partkey") % 5 * 10.0
     return tables.read_table(spark, folder, "part").select(
@@ -326,7 +372,13 @@ def _boxes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@_query()
+@_query("""WITH RECURSIVE b AS (SELECT p_partkey // 20 AS page_id, p_partkey AS box_id, (p_size % 10) * 10.0::DOUBLE AS x0, p_partkey % 5 * 10.0::DOUBLE AS y0, ((p_size % 10) * 10.0 + 5 + p_size)::DOUBLE AS x1, (p_partkey % 5 * 10.0 + 5 + p_retailprice % 7)::DOUBLE AS y1 FROM part),
+o AS (SELECT *, (x1 - x0) * (y1 - y0) AS area, row_number() OVER (PARTITION BY page_id ORDER BY (x1 - x0) * (y1 - y0) DESC, box_id) AS k FROM b),
+f AS (SELECT page_id, 1::BIGINT AS k, [{'box_id': box_id, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'area': area}] AS kept FROM o WHERE k = 1
+ UNION ALL SELECT f.page_id, o.k, CASE WHEN len(list_filter(f.kept, lambda h: greatest(0, least(h.x1, o.x1) - greatest(h.x0, o.x0)) * greatest(0, least(h.y1, o.y1) - greatest(h.y0, o.y0)) > 0.5 * least(h.area, o.area))) > 0 THEN f.kept
+   ELSE list_append(f.kept, {'box_id': o.box_id, 'x0': o.x0, 'y0': o.y0, 'x1': o.x1, 'y1': o.y1, 'area': o.area}) END FROM f JOIN o ON o.page_id = f.page_id AND o.k = f.k + 1),
+z AS (SELECT page_id, unnest(kept) AS b FROM f QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY k DESC) = 1)
+SELECT page_id, b.box_id AS box_id FROM z""")
 def table_overlap(spark: SparkSession, folder: str) -> DataFrame:
     return quality.largest_without_overlap(_boxes(spark, folder))
 
@@ -350,12 +402,24 @@ def citation_links(spark: SparkSession, folder: str) -> DataFrame:
     return citations.resolve(*_edges(spark, folder)).select("edge_id", "dst_paper_id", "how")
 
 
-@_query()
+@_query("""WITH e AS (SELECT CASE item_id % 4 WHEN 0 THEN item_id + 1 WHEN 1 THEN item_id WHEN 2 THEN item_id END AS dst, item_id + 1 AS src, ['doi', 'arxiv', 'title'][1 + item_id % 4] AS how FROM benchmark),
+r AS (SELECT *, coalesce(dst IN (SELECT item_id FROM benchmark), false) AS there FROM e)
+SELECT count(*) AS total, count(*) FILTER (WHERE there AND dst <> src AND how = 'doi') AS by_doi, count(*) FILTER (WHERE there AND dst <> src AND how = 'arxiv') AS by_arxiv, count(*) FILTER (WHERE there AND dst <> src AND how = 'title') AS by_title,
+count(*) FILTER (WHERE NOT there OR dst = src) AS unresolved, count(*) FILTER (WHERE there AND dst = src) AS self_citations, 0::BIGINT AS ambiguous FROM r""")
 def citation_counts(spark: SparkSession, folder: str) -> DataFrame:
     return citations.resolution_counts(citations.resolve(*_edges(spark, folder)))
 
 
-@_query()
+_FOLDED = "lower(strip_accents({}))"
+_TITLE_ENDS = "[,.;\"''”’)\\]]"
+
+
+@_query(f"""WITH t AS (SELECT item_id AS paper_id, array_to_string(list_filter(string_split(regexp_replace({_FOLDED.format("array_to_string(string_split(text, ' ')[1:9], ' ')")}, '[^a-z0-9 ]+', ' ', 'g'), ' '), lambda w: w <> ''), ' ') AS t FROM benchmark),
+tt AS (SELECT *, string_split(t, ' ') AS w FROM t WHERE len(string_split(t, ' ')) >= 4),
+r0 AS (SELECT doc_id AS edge_id, regexp_replace(regexp_replace({_FOLDED.format('text')}, '[^a-z0-9\\s\\-,.;"''”’)\\]]+', ' ', 'g'), '([a-z0-9])-\\s+([a-z0-9])', '\\1\\2', 'g') AS h FROM documents WHERE text IS NOT NULL),
+r AS (SELECT edge_id, trim(regexp_replace(replace(h, '-', ' '), '\\s+', ' ', 'g')) AS h FROM r0),
+m AS (SELECT edge_id, paper_id, h, t, w, string_split(h, t)[2:] AS after FROM r JOIN tt ON contains(h, CASE WHEN len(w) >= 8 THEN array_to_string(w[1:len(w) - 2], ' ') ELSE t END))
+SELECT edge_id, paper_id FROM m WHERE len(w) >= 8 OR len(list_filter(after, lambda x: regexp_matches(x, '^ ?{_TITLE_ENDS}'))) > 0 OR (contains(h, t) AND ends_with(h, t))""")
 def title_in_reference(spark: SparkSession, folder: str) -> DataFrame:
     titles = tables.read_table(spark, folder, "benchmark").select(F.col("item_id").alias("paper_id"), X.phrase_udf(F.substring_index("text", " ", 9)).alias("t")).where("size(split(t, ' ')) >= 4")
     references = _docs(spark, folder).where("text IS NOT NULL").select(F.col("doc_id").alias("edge_id"), X.reference_phrase_udf("text").alias("h"))
@@ -376,12 +440,23 @@ def import_reasons(spark: SparkSession, folder: str) -> DataFrame:
     return dedupe.import_plan(batch, known, batch.where("pos % 10 = 0")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@_query()
+_BLOCK_TEXT = "regexp_replace(regexp_replace(raw, '(?is)<br[^>]*>', ' ', 'g'), '(?s)<[^>]*>', '', 'g')"
+for _name, _sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+    _BLOCK_TEXT = f"replace({_BLOCK_TEXT}, '{_name}', '{_sign}')"
+
+
+@_query(f"""WITH s AS (SELECT page_id, list_filter(string_split(regexp_replace(html, '(?i)<((?:h[1-6]|p|/article|footer|/body)\\b)', chr(1) || '<\\1', 'g'), chr(1)), lambda x: regexp_matches(x, '(?is)^<(?:h[1-6]|p)\\b[^>]*>')) AS parts FROM pages),
+b AS (SELECT page_id, unnest(parts) AS raw, generate_subscripts(parts, 1) - 1 AS ordinal FROM s),
+t AS (SELECT page_id, ordinal, lower(regexp_extract(raw, '(?i)^<(h[1-6]|p)', 1)) AS tag, trim(regexp_replace({_BLOCK_TEXT}, '\\s+', ' ', 'g')) AS text FROM b)
+SELECT page_id, ordinal, tag, text FROM t WHERE text <> ''""")
 def page_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return markup.html_blocks(tables.read_table(spark, folder, "pages"))
 
 
-@_query()
+@_query("""WITH s AS (SELECT doc_id, text, string_split_regex(replace(text, chr(10), ' '), '\\s*\\[\\d{1,3}\\]\\s*')[2:] AS marked FROM documents),
+e AS (SELECT doc_id, list_filter(CASE WHEN len(marked) > 0 THEN list_transform(marked, lambda x: trim(x)) ELSE list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) > 20) END, lambda x: x <> '') AS raws FROM s),
+r AS (SELECT doc_id, generate_subscripts(raws, 1) - 1 AS ordinal, left(unnest(raws), 2000) AS raw FROM e)
+SELECT doc_id, ordinal, raw, nullif(rtrim(regexp_extract(raw, '\\b10\\.\\d{4,9}/[-._;()/:A-Za-z0-9]+\\b'), '.'), '') AS doi, nullif(regexp_extract(raw, '(?i)arXiv[:\\s]*(\\d{4}\\.\\d{4,5})', 1), '') AS arxiv_id FROM r""")
 def reference_entries(spark: SparkSession, folder: str) -> DataFrame:
     return layout.references(_docs(spark, folder).select("doc_id", "text"))
 
@@ -392,6 +467,63 @@ def plausible_titles(spark: SparkSession, folder: str) -> DataFrame:
     return _docs(spark, folder).where("NOT contains(text, '\\n')").select("doc_id", X.plausible_title(F.col("text")).alias("plausible"))
 
 
+def _identified(spark: SparkSession, folder: str) -> DataFrame:
+    """Items with identifiers that several of them share, in different spellings."""
+    i = F.col("item_id")
+    doi = F.concat(F.when(i % 2 == 0, "10.1000/ABC.").otherwise("10.1000/abc."), i % 17, F.when(i % 3 == 0, ".").otherwise(""))
+    arxiv = F.concat(F.when(i % 2 == 0, "arXiv:").otherwise(""), F.lit("2101."), F.lpad((i % 30).cast("string"), 5, "0"), F.when(i % 5 == 0, "v2 [cs.IT]").otherwise(""))
+    return tables.read_table(spark, folder, "benchmark").select(i, doi.alias("doi"), arxiv.alias("arxiv_id"))
+
+
+@_query("SELECT '10.1000/abc.' || item_id % 17 AS doi, count(*) AS n FROM benchmark GROUP BY 1 HAVING count(*) > 1")
+def dup_by_doi(spark: SparkSession, folder: str) -> DataFrame:
+    return dedupe.duplicate_groups(_identified(spark, folder), X.doi_key(F.col("doi")), "doi")
+
+
+@_query("SELECT '2101.' || lpad((item_id % 30)::VARCHAR, 5, '0') AS arxiv_id, count(*) AS n FROM benchmark GROUP BY 1 HAVING count(*) > 1")
+def dup_by_arxiv(spark: SparkSession, folder: str) -> DataFrame:
+    return dedupe.duplicate_groups(_identified(spark, folder), X.arxiv_key(F.col("arxiv_id")), "arxiv_id")
+
+
+@_query("""WITH k AS (SELECT item_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS t FROM benchmark),
+e AS (SELECT a.item_id AS edge_id, b.item_id AS dst_paper_id, b.t, string_split(b.t, ' ') AS w, CASE a.item_id % 3 WHEN 0 THEN a.t || ' 2020' WHEN 1 THEN array_to_string(string_split(a.t, ' ')[1:len(string_split(a.t, ' ')) - 1], ' ') ELSE 'an unknown work' END AS h FROM k a JOIN k b ON b.item_id = CASE WHEN a.item_id % 7 = 0 THEN a.item_id + 1 ELSE a.item_id END)
+SELECT edge_id, dst_paper_id FROM e WHERE t <> '' AND NOT (contains(' ' || h, t) OR (len(w) >= 8 AND contains(' ' || h, array_to_string(w[1:len(w) - 2], ' '))))""")
+def unsupported_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """Edges with the whole title, with all but its last word, or with none; some point at a neighbour."""
+    items = tables.read_table(spark, folder, "benchmark")
+    i, t = F.col("item_id"), X.loose_title(F.col("text"))
+    words = F.split(t, " ")
+    most = F.array_join(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), " ")
+    edges = items.select(i.alias("edge_id"), F.when(i % 7 == 0, i + 1).otherwise(i).alias("dst_paper_id"), F.when(i % 3 == 0, F.concat(t, F.lit(" (2020)"))).when(i % 3 == 1, most).alias("title"), F.when(i % 3 == 2, "an unknown work").alias("raw"))
+    return audits.unsupported_edges(edges, items.select(i.alias("paper_id"), F.col("text").alias("title")))
+
+
+@_query(f"""WITH {_PARAGRAPHS}, m AS (SELECT doc_id FROM documents WHERE doc_id % 97 <> 1), p AS (SELECT doc_id, doc_id % 31 = 3 AS bad, doc_id % 31 = 3 AND doc_id % 62 <> 3 AS told FROM documents WHERE doc_id % 89 <> 2),
+h AS (SELECT doc_id FROM documents WHERE doc_id % 3 = 0 AND doc_id % 33 <> 0 OR doc_id = 1)
+SELECT 'all of the manifest is stored' AS criterion, count(*) = 0 AS ok, count(*)::VARCHAR AS figure FROM m WHERE doc_id NOT IN (SELECT doc_id FROM p)
+UNION ALL SELECT 'no paper beside the manifest', (SELECT count(*) FROM p) = (SELECT count(*) FROM m), (SELECT count(*) FROM p)::VARCHAR
+UNION ALL SELECT 'parse failures under the limit', count(*) FILTER (WHERE bad) / count(*) < 0.05, (count(*) FILTER (WHERE bad))::VARCHAR FROM p
+UNION ALL SELECT 'every failure has a reason', count(*) FILTER (WHERE bad AND NOT told) = 0, (count(*) FILTER (WHERE bad AND NOT told))::VARCHAR FROM p
+UNION ALL SELECT 'tables are stored', count(*) > 0, count(*)::VARCHAR FROM benchmark
+UNION ALL SELECT 'every table has a header and a row', count(*) FILTER (WHERE item_id % 5 <> 0) = count(*), (count(*) FILTER (WHERE item_id % 5 <> 0))::VARCHAR FROM benchmark
+UNION ALL SELECT 'sections and paragraphs are stored', count(*) > 0, (count(*) + count(DISTINCT section_id))::VARCHAR FROM par
+UNION ALL SELECT 'citation edges are stored', count(*) > 0, count(*)::VARCHAR FROM benchmark
+UNION ALL SELECT 'the split holds out what the list names', (SELECT count(*) FROM documents WHERE doc_id % 3 = 0) = (SELECT count(*) FROM h), (SELECT count(*) FROM documents WHERE doc_id % 3 = 0)::VARCHAR
+UNION ALL SELECT 'no listed paper is in development', count(*) = 0, count(*)::VARCHAR FROM p WHERE doc_id IN (SELECT doc_id FROM h) AND doc_id % 3 <> 0""")
+def exit_criteria(spark: SparkSession, folder: str) -> DataFrame:
+    """A corpus with missing papers, failures without a reason, tables without a header and a wrong holdout list."""
+    docs, items = _docs(spark, folder), tables.read_table(spark, folder, "benchmark")
+    i, name = F.col("doc_id"), F.concat(F.lit("doc-"), "doc_id").alias("external_id")
+    bad = i % 31 == 3
+    papers = docs.where("doc_id % 89 <> 2").select(i.alias("paper_id"), name, F.when(bad, "quarantined").otherwise("ok").alias("status"), F.when(bad & (i % 62 != 3), "broken").alias("reason"))
+    grid = F.struct(F.when(F.col("item_id") % 5 != 0, F.array(F.lit("a"), F.lit("b"))).alias("header"), F.array(F.array("text", "text")).alias("rows"))
+    paragraphs = _paragraphs(spark, folder)
+    return audits.exit_criteria(
+        docs.where("doc_id % 97 <> 1").select(name), papers, items.select(F.col("item_id").alias("paper_id"), grid.alias("grid")), paragraphs.select("paper_id", "section_id").distinct(), paragraphs, _edges(spark, folder)[0],
+        _split(spark, folder), docs.where("doc_id % 3 = 0 AND doc_id % 33 <> 0 OR doc_id = 1").select(name),
+    )
+
+
 @_query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
 def event_windows(spark: SparkSession, folder: str) -> DataFrame:
     from ..streaming.incremental import event_counts

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+#: Paragraphs that a paper may have: its ids are its own up to there, and more raise.
+STRIDE = 1 << 24
+
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -27,7 +30,8 @@ def paragraphs(papers: DataFrame, section_size: int = 5) -> DataFrame:
     in every run. Sections are blocks of ``section_size`` paragraphs.
     """
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
-    rows = papers.select("paper_id", F.posexplode(lines).alias("ordinal", "text"))
-    return rows.select(
-        "paper_id", (F.col("paper_id") * 100_000 + F.floor(F.col("ordinal") / section_size)).alias("section_id"), (F.col("paper_id") * 100_000 + F.col("ordinal")).alias("paragraph_id"), "ordinal", "text"
-    )
+    rows = papers.select("paper_id", F.posexplode(lines).alias("place", "text"))
+    ordinal = F.when(F.col("place") < STRIDE, F.col("place")).otherwise(F.raise_error(F.lit(f"a paper has more than {STRIDE} paragraphs")).cast("int"))
+    rows = rows.select("paper_id", ordinal.alias("ordinal"), "text")
+    base = F.col("paper_id") * STRIDE
+    return rows.select("paper_id", (base + F.floor(F.col("ordinal") / section_size)).alias("section_id"), (base + F.col("ordinal")).alias("paragraph_id"), "ordinal", "text")

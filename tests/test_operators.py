@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
@@ -190,18 +191,31 @@ def test_resolution_cascade(spark):
     assert citations.resolution_counts(got).first().unresolved == 3
 
 
-def test_anchored_titles_match_all_titles(spark, monkeypatch):
-    refs = spark.createDataFrame([(1, "x. a study of graph codes. y"), (2, "a long title that goes on and on, 2020")], "edge_id long, h string")
-    titles = spark.createDataFrame([(1, "a study of graph codes"), (2, "a long title that goes on and on for ever")], "paper_id long, t string")
-    whole = rows(citations.contained_titles(refs, titles))
-    monkeypatch.setattr(citations, "BROADCAST_TITLES", 0)
-    assert rows(citations.contained_titles(refs, titles)) == whole == [(1, 1), (2, 2)]
+def test_titles_are_found_as_all_titles_are(spark):
+    rng = random.Random(2)
+    word = lambda: rng.choice(["a", "of", "the", "graph", "codes", "study", "neural", "network"])
+    titles = [(1, "a study of graph codes"), (2, "a long title that goes on and on for ever"), (3, "a b c d e neuralnetwork of it"), *((10 + k, " ".join(word() for _ in range(rng.randint(4, 9)))) for k in range(40))]
+    refs = [(1, "x. a study of graph codes. y"), (2, "a long title that goes on and on, 2020"), (3, "a b c d e neuralnetworks x y z"), (4, "xa study of graph codes"), (5, "a study of, graph codes")]
+    refs += [(10 + k, " ".join(word() + rng.choice(["", "", "", ",", ".", "s"]) for _ in range(rng.randint(3, 60)))) for k in range(60)] + [(100 + k, f"q {t}{rng.choice(['', '.', 's', ' more'])}") for k, t in titles]
+    refs, titles = spark.createDataFrame(refs, "edge_id long, h string"), spark.createDataFrame(titles, "paper_id long, t string")
+    every = refs.crossJoin(titles).where(X.title_matches(F.col("t"), F.col("h"))).select("edge_id", "paper_id")
+    got = rows(citations.contained_titles(refs, titles))
+    assert got == rows(every) and {(1, 1), (2, 2), (3, 3), (4, 1)} <= set(got) and (5, 1) not in got
 
 
-def test_containment_in_blocks(spark):
-    docs = spark.createDataFrame([(k, f"text {k} with words") for k in range(9)] + [(99, None)], "doc_id long, text string")
-    items = spark.createDataFrame([(k, f"{k} with") for k in range(5)], "item_id long, text string")
-    assert rows(citations.containment(docs, items)) == rows(citations.containment(docs, items, max_bytes=12)) == [(k, k) for k in range(5)]
+def test_containment(spark):
+    docs = spark.createDataFrame([(k, f"text {k} with  words\nand more") for k in range(9)] + [(99, None), (3, "text 3 with")], "doc_id long, text string")
+    items = [(k, f"{k} with") for k in range(5)] + [(20, "ext 4 with  wor"), (21, "4 with words"), (22, "with"), (23, "7 with  words\nand"), (24, None), (25, " 8 with "), (26, "")]
+    items = spark.createDataFrame(items, "item_id long, text string")
+    every = rows(docs.crossJoin(items.select("item_id", F.col("text").alias("n"))).where(F.contains("text", "n")).select("item_id", "doc_id"))
+    assert rows(citations.containment(docs, items)) == rows(citations.containment(docs, items, max_bytes=12)) == every and (20, 4) in every and (21, 4) not in every
+
+
+def test_paragraph_ids_are_a_papers_own(spark):
+    from lectern.sources import tables
+
+    made = tables.paragraphs(spark.createDataFrame([(1, "x\n" * 120_000), (2, "y")], "paper_id long, text string"))
+    assert made.select("paragraph_id").distinct().count() == 120_001 and made.where("paper_id = 2").first().paragraph_id == 2 * tables.STRIDE
 
 
 def test_import_plan(spark):
