@@ -167,10 +167,8 @@ def _probe(shared):
 _FOUND = "n_words bigint, begins array<bigint>, ends array<bigint>, items array<string>"
 
 
-def _blocks_of(spark: SparkSession, windows: DataFrame, texts: DataFrame, max_windows: int) -> Iterator:
-    """Broadcast blocks of windows, each window with its rarest shingle."""
-    n = windows.count()
-    many = max(1, -(-n // max_windows))
+def _blocks_of(spark: SparkSession, windows: DataFrame, texts: DataFrame, many: int) -> Iterator:
+    """Broadcast blocks of windows, each window with its rarest shingle, one after the other."""
     for k in range(many):
         own = windows.where(F.pmod("hash", F.lit(many)) == k)
         parts = own.select("width", F.explode("parts").alias("part")).distinct()
@@ -196,7 +194,10 @@ def decontaminate(
     Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z.
     items: the sorted ids (strings) of the items with a window in the document.
     spans: merged word ranges (begin, end) inside window occurrences; n_hit is
-    the number of words in them.  Null and empty texts have no words and no
+    the number of words in them.  Words, shingles and windows are compared by
+    64-bit hashes: of n document words and m windows, n * m / 2 ** 64 are
+    expected to be taken for equal wrongly (5e-4 for 1e10 words and 1e6
+    windows).  Null and empty texts have no words and no
     windows; items with a null id are left out; repeated items and documents
     are treated alike, each row by itself.  With an empty benchmark nothing is
     hit.  Other columns play no part.
@@ -207,14 +208,18 @@ def decontaminate(
     made = items.mapInArrow(_windows(window, shingle), "item string, hash bigint, size int, width int, parts array<bigint>")
     made = made.groupBy("hash", "size", "width").agg(F.array_sort(F.collect_set("item")).alias("items"), F.first("parts").alias("parts"))
     windows = materialize(made, "windows")
-    shared = list(_blocks_of(spark, windows, rows, max_windows))
+    many = max(1, -(-windows.count() // max_windows))
+    shared = _blocks_of(spark, windows, rows, many)
     kind = dict(rows.dtypes)["key"]
-    if len(shared) == 1:
-        found = rows.mapInArrow(_probe(shared[0]), f"key {kind}, {_FOUND}")
+    if many == 1:
+        found = rows.mapInArrow(_probe(next(shared)), f"key {kind}, {_FOUND}")
     else:
         digest = F.unhex(F.sha2(F.col("text").cast("binary"), 256))
         texts = rows.select(digest.alias("key"), "text")
-        passes = [texts.mapInArrow(_probe(s), f"key binary, {_FOUND}").where("size(items) > 0 OR n_words > 0").distinct() for s in shared]
+        passes = []
+        for block in shared:  # a pass is stored before the next block is made, so that one block at a time is held
+            passes.append(materialize(texts.mapInArrow(_probe(block), f"key binary, {_FOUND}").where("size(items) > 0 OR n_words > 0").distinct(), "passes"))
+            block.unpersist()
         merged = passes[0]
         for one in passes[1:]:
             merged = merged.unionByName(one)

@@ -259,6 +259,7 @@ def _residue(labelled: DataFrame, sketches: DataFrame, docs: DataFrame, width: i
     labelled: (main, id, own): the component of a bucket's pivot, a member, the member's component.
     """
     family = labelled.groupBy("main").agg(F.count("*").alias("s"), F.count_if(F.expr("own <> main")).alias("o")).where("o > 0")
+    family = materialize(family, "family-sizes")  # so that the join with it is a plain one, which can be split where a family is large
     family = materialize(labelled.join(family, "main"), "families")
     if family.isEmpty():
         return None
@@ -297,7 +298,9 @@ def near_dedup(
     Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a document's set is
     its distinct shingles of ``width`` words.  Documents are linked when
     100 * intersection >= percent * union; component_id is the least id that
-    can be reached.
+    can be reached.  Sets are of 64-bit hashes and confirmed whole: in a pair of
+    sets of n shingles, n * n / 2 ** 64 are expected to be taken for equal wrongly.
+    Ids must be castable to bigint.
 
     Null, empty and blank texts have no set, n_shingles 0, and are linked with
     nothing: component_id is their own id.  Repeated rows and ties fall in one

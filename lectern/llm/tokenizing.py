@@ -22,6 +22,7 @@ from itertools import chain
 
 import numpy as np
 
+from . import tokenizer_files
 from .textbytes import blocks, expand, hash_spans, starts_of_texts
 
 #: Places of a worker's cache of units, and ids that a place holds: 45 bytes each, 47 MB whatever the texts. A unit
@@ -212,9 +213,9 @@ _ENCODERS: dict[str, UnitEncoder] = {}
 
 
 def encoder(path: str) -> UnitEncoder:
-    """The process's encoder for a tokenizer file."""
+    """The process's encoder for a tokenizer file; where the machine lacks the path, its own installed file of that name."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = UnitEncoder(path)
+        _ENCODERS[path] = UnitEncoder(path if os.path.exists(path) else tokenizer_files.path(os.path.basename(path)))
     return _ENCODERS[path]
 
 
