@@ -118,14 +118,41 @@ def span_integrity(spark: SparkSession, folder: str) -> DataFrame:
     return spans.agg(F.count("*").alias("spans")).crossJoin(kinds)  # one row each
 
 
-@_query()
+def _packed_sql(strategy: str, budget: int = 2048) -> str:
+    """Pieces (whole paragraphs, sentences, runs cut at spaces), folded into chunks one after the other."""
+    unit = "section_id" if strategy == "section" else "paper_id"
+    ordinal = "row_number() OVER (PARTITION BY paper_id ORDER BY section_id, chunk) - 1" if strategy == "section" else "chunk"
+    white = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""WITH RECURSIVE {_PARAGRAPHS}, dev AS (SELECT * FROM par WHERE paper_id % 3 <> 0),
+marked AS (SELECT paragraph_id, string_split(regexp_replace(text, '([.!?])(\\s+[A-Z(\\[])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS s FROM dev WHERE length(text) > {budget}),
+sent AS (SELECT paragraph_id, unnest(s) AS raw, unnest(list_transform(range(1, len(s) + 1), lambda i: coalesce(list_sum(list_transform(s[1:i - 1], lambda x: length(x))), 0)::BIGINT)) AS lead_ FROM marked),
+cut(paragraph_id, b, e, rest, stop) AS (SELECT paragraph_id, NULL::BIGINT, NULL::BIGINT, lead_ + length(raw) - length(ltrim(raw, {white})), lead_ + length(rtrim(raw, {white})) FROM sent
+  UNION ALL SELECT paragraph_id, rest, c, c + CASE WHEN c < stop AND substr(text, c + 1, 1) = ' ' THEN 1 ELSE 0 END, stop FROM (
+    SELECT cut.paragraph_id, text, rest, stop, CASE WHEN stop - rest <= {budget} THEN stop WHEN strpos(reverse(substr(text, rest + 2, {budget} - 1)), ' ') = 0 THEN rest + {budget}
+      ELSE rest + 1 + length(substr(text, rest + 2, {budget} - 1)) - strpos(reverse(substr(text, rest + 2, {budget} - 1)), ' ') END AS c FROM cut JOIN dev USING (paragraph_id) WHERE rest < stop)),
+piece AS (SELECT paragraph_id, 0::BIGINT AS b, length(text) AS e FROM dev WHERE length(text) <= {budget} UNION ALL SELECT paragraph_id, b, e FROM cut WHERE b IS NOT NULL),
+laid AS (SELECT {unit} AS unit, paper_id, section_id, paragraph_id, b, e, substr(text, b + 1, e - b) AS t, e - b AS size, CASE WHEN row_number() OVER (PARTITION BY paragraph_id ORDER BY b) = 1 THEN length(text) ELSE e - b END AS need,
+         row_number() OVER (PARTITION BY {unit} ORDER BY paragraph_id, b) AS k FROM piece JOIN dev USING (paragraph_id)),
+fold AS (SELECT unit, k, 0::BIGINT AS chunk, size AS used FROM laid WHERE k = 1
+  UNION ALL SELECT l.unit, l.k, f.chunk + full_::INT, CASE WHEN full_ THEN l.size ELSE f.used + l.size END FROM fold f JOIN laid l ON l.unit = f.unit AND l.k = f.k + 1, LATERAL (SELECT f.used > 0 AND f.used + l.need > {budget} AS full_)),
+made AS (SELECT paper_id, {"section_id" if strategy == "section" else "NULL::BIGINT AS section_id"}, chunk, string_agg(t, ' ' ORDER BY k) AS text, string_agg(paragraph_id || ':' || b || '-' || e, ',' ORDER BY k) AS spans FROM laid JOIN fold USING (unit, k) GROUP BY ALL)
+SELECT paper_id, section_id, {ordinal} AS ordinal, text, '{strategy}' AS strategy, spans FROM made"""
+
+
+def _with_spans(chunks: DataFrame) -> DataFrame:
+    """Chunks with their spans as text: paragraph:begin-end, comma-joined."""
+    shown = F.transform("spans", lambda s: F.concat(s["paragraph_id"].cast("string"), F.lit(":"), s["char_start"].cast("string"), F.lit("-"), s["char_end"].cast("string")))
+    return chunks.select("paper_id", "section_id", "ordinal", "text", "strategy", F.array_join(shown, ",").alias("spans"))
+
+
+@_query(_packed_sql("flat"))
 def flat_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return chunking.flat_chunks(_dev_paragraphs(spark, folder), 512)
+    return _with_spans(chunking.flat_chunks(_dev_paragraphs(spark, folder), 512))
 
 
-@_query()
+@_query(_packed_sql("section"))
 def section_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return chunking.section_chunks(_dev_paragraphs(spark, folder), 512)
+    return _with_spans(chunking.section_chunks(_dev_paragraphs(spark, folder), 512))
 
 
 def _search(spark: SparkSession, folder: str, logic: str, top_k: int) -> DataFrame:
