@@ -194,7 +194,7 @@ def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     and rows that share an id are mixed like all others.
     """
     row = "_row" + "_" * max([0, *(len(c) for c in docs.columns)])  # a name that no column has
-    docs = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    docs = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered", "zstd")
     _, pieces, _ = mix(docs, id_col=id_col, text_col=text_col, row_col=row, **options)
     spans = pieces.groupBy("row").agg(F.collect_list(F.struct("shard", "slot", "first", "last")).alias("_spans"))
     words = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(f"{_WORD}[\\x20\\x09-\\x0D]*"), F.lit(0))

@@ -9,14 +9,18 @@ the case in tests and notebooks; a cluster without the setting raises.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+#: The paths that this driver has made, in their order.
+_MADE: list[str] = []
 #: Bytes of one Arrow batch, so that long rows can't fill a Python worker.
 BATCH_BYTES = 8 << 20
 
@@ -46,9 +50,32 @@ def new_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nothing else uses; removed when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     atexit.register(_remove_quietly, spark, path)
+    _MADE.append(path)
     return path
 
 
+class Scratch:
+    """The stored tables that the steps of a job have made, so that a step can remove those of earlier ones."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    @contextlib.contextmanager
+    def collect(self) -> Iterator[None]:
+        """What is stored inside belongs to this job."""
+        before = len(_MADE)
+        yield
+        self.paths += _MADE[before:]
+
+    def release(self, spark: SparkSession, keep: DataFrame) -> None:
+        """Remove the job's tables but those that ``keep`` reads."""
+        files = keep.inputFiles()
+        used = [p for p in self.paths if any(re.sub("^file:/+", "/", p) + "/" in re.sub("^file:/+", "/", f) for f in files)]
+        for path in set(self.paths) - set(used):
+            remove(spark, path)
+        self.paths = used
+
+
 def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` as a shared Parquet table and return a scan of it."""
     spark = df.sparkSession
