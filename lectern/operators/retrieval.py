@@ -68,10 +68,15 @@ def search(
         raise ValueError(f"term_logic is 'all' or 'any', not {term_logic!r}")
     chunks = visible_chunks(corpus, corpus_id, config_fingerprint, include_holdout)
     asked = queries.select("query_id", F.array_distinct(terms(F.col("text"))).alias("q")).select("query_id", F.size("q").alias("n_terms"), F.posexplode("q").alias("t", "term"))
-    words = chunks.select("chunk_id", F.posexplode(terms(F.col("text"))).alias("pos", "term"))
-    found = words.join(asked, "term").groupBy("query_id", "chunk_id", "n_terms").agg(F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("hits"))
-    if term_logic == "all":
-        found = found.where(F.size(F.array_distinct(F.transform("hits", lambda h: h["t"]))) == F.col("n_terms"))
+    pairs = ["query_id", "chunk_id"]
+    if term_logic == "all":  # positions are looked at only where all terms are there
+        own = chunks.select("chunk_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).join(asked.select("query_id", "n_terms", "term"), "term")
+        full = own.groupBy(*pairs, "n_terms").agg(F.count("*").alias("matched")).where("matched = n_terms").select(*pairs)
+        words = chunks.join(full.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", F.posexplode(terms(F.col("text"))).alias("pos", "term"))
+        hits = words.join(asked, "term").join(full, pairs, "left_semi")
+    else:
+        hits = chunks.select("chunk_id", F.posexplode(terms(F.col("text"))).alias("pos", "term")).join(asked, "term")
+    found = hits.groupBy(*pairs, "n_terms").agg(F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("hits"))
     scored = found.select("query_id", "chunk_id", F.round(_cover_score(term_logic), 9).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
