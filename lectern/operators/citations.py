@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.text import LONG_TITLE_TOKENS, arxiv_key, doi_key, find_arxiv, find_doi, phrase_udf, reference_phrase_udf, title_matches
 
 _SPACE = "[ \\t\\n\\x0B\\f\\r]+"
+#: Words of an anchor.
+RUNS = (1, 2, 4, 8)
 
 
 def _keyed(papers: DataFrame, key: Column) -> DataFrame:
@@ -67,27 +69,48 @@ def resolution_counts(resolved: DataFrame) -> DataFrame:
     )
 
 
-def containment(documents: DataFrame, phrases: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
-    """(item_id, doc_id) where a document contains a phrase verbatim.
+def _runs(words: Column, length: int, make) -> Column:
+    """``make(hash, start)`` for each run of as many words as ``length``; each word is read in place, so the work is linear."""
+    run = lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(length)])
+    return F.transform(F.sequence(F.lit(0), F.size(words) - length), lambda i: make(run(i), i))
+
+
+def _longest_run(words: Column, length: int) -> Column:
+    """Hash of the run with most characters, the first among equals."""
+    size = lambda i: sum((F.length(F.get(words, i + j)) for j in range(1, length)), F.length(F.get(words, i)))
+    return F.array_max(_runs(words, length, lambda run, i: F.struct(size(i).alias("n"), (-i).alias("i"), run.alias("run"))))["run"]
 
-    phrases: item_id, text.  A phrase meets a document through an anchor, the
-    longest of its inner words between white space, which the document must
-    have as a word; then the texts are compared.  Phrases of one or two words
-    have no such anchor: they are compared with each document, and sent to the
-    tasks in blocks of ``max_bytes``.
+
+def containment(documents: DataFrame, phrases: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
+    """(item_id, doc_id) where a document contains a phrase verbatim, for each row of either.
+
+    phrases: item_id, text.  A phrase meets a document through an anchor, a run
+    of eight (or four, two, one where there are fewer) of its inner words
+    between white space, which the document must have as words; then the texts
+    are compared.  A text is moved once, however many phrases it meets.
+    Phrases of one or two words have no such anchor: they are compared with
+    each document, and sent to the tasks in blocks of ``max_bytes``.
     """
     items = phrases.where("text IS NOT NULL").select("item_id", F.col("text").alias("needle"))
     parts = F.split("needle", _SPACE)
-    items = items.withColumn("word", _longest(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0)))))
+    items = items.withColumn("inner", F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))))
+    length, run = F.lit(None).cast("int"), F.lit(None).cast("bigint")
+    for k in sorted(RUNS):
+        length, run = (F.when(F.size("inner") >= k, x).otherwise(y) for x, y in ((F.lit(k), length), (_longest_run(F.col("inner"), k), run)))
+    items = items.select("item_id", "needle", length.alias("length"), run.alias("run"))
     docs = documents.select("doc_id", "text")
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", _SPACE))).alias("word"))
-    anchors = items.where("word IS NOT NULL")
-    near = words.join(anchors.select("item_id", "word"), "word").select("item_id", "doc_id").distinct()
-    met = docs.join(near, "doc_id").join(anchors.select("item_id", "needle").distinct(), "item_id").where(F.contains("text", "needle")).select("item_id", "doc_id")
-    short = items.where("word IS NULL").select("item_id", "needle")
-    total = short.agg(F.sum(F.octet_length("needle"))).first()[0]
+    lengths, total = items.agg(F.collect_set("length"), F.sum(F.when(F.col("run").isNull(), F.octet_length("needle")))).first()
+    met = docs.join(items, F.lit(False)).select("item_id", "doc_id")
+    if lengths:
+        words = docs.select("doc_id", F.split("text", _SPACE).alias("w"))
+        anchors = items.where("run IS NOT NULL")
+        runs = [F.when(F.size("w") >= k, _runs(F.col("w"), k, lambda run, i: run)).otherwise(F.array().cast("array<bigint>")) for k in sorted(lengths)]
+        near = words.select("doc_id", F.explode(F.concat(*runs)).alias("run")).join(anchors.select("run").distinct(), "run", "left_semi").distinct()
+        pairs = near.join(anchors, "run").select(F.col("doc_id").alias("_doc"), "item_id", "needle")
+        met = docs.join(pairs, F.col("doc_id").eqNullSafe(F.col("_doc")) & F.contains("text", "needle")).select("item_id", "doc_id")
     if total is None:
         return met
+    short = items.where("run IS NULL").select("item_id", "needle")
     blocks = 1 + 2 * total // max_bytes
     for k in range(blocks):
         own = short.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)

@@ -23,9 +23,14 @@ def per_question(questions: DataFrame, ranked: DataFrame, gold: DataFrame, k: in
     questions: query_id, type; ranked: query_id, paper_id, rank; gold: ``gold_gains``.
     A question with no hits scores 0.
     """
+    return judged(questions.join(gold, "query_id"), ranked, k)
+
+
+def judged(questions: DataFrame, ranked: DataFrame, k: int = 5) -> DataFrame:
+    """``per_question`` for questions that have their gold beside them: query_id, type, relevant, gains."""
     order = F.array_sort(F.collect_list(F.struct("rank", "paper_id")))
     lists = ranked.groupBy("query_id").agg(order["paper_id"].alias("found"))
-    rows = questions.where("type <> 'unanswerable'").join(gold, "query_id").join(lists, "query_id", "left")
+    rows = questions.where("type <> 'unanswerable'").join(lists, "query_id", "left")
     found, relevant = F.coalesce("found", F.array().cast("array<bigint>")), F.col("relevant")
     rows = rows.select("query_id", "type", found.alias("found"), "relevant", "gains")
     found = F.col("found")

@@ -26,6 +26,11 @@ def reciprocal_rank_fusion(rankings: list[DataFrame], *, k: int = 60, top_k: int
 
 def first_per_paper(hits: DataFrame, chunk_papers: DataFrame, top_k: int) -> DataFrame:
     """Hits as papers: each paper at its best rank, ranks contiguous again, the first ``top_k``."""
-    best = hits.join(chunk_papers, "chunk_id").groupBy("query_id", "paper_id").agg(F.min("rank").alias("best"))
+    return best_papers(hits.join(chunk_papers, "chunk_id"), top_k)
+
+
+def best_papers(hits: DataFrame, top_k: int) -> DataFrame:
+    """``first_per_paper`` of hits that have their paper_id."""
+    best = hits.groupBy("query_id", "paper_id").agg(F.min("rank").alias("best"))
     order = Window.partitionBy("query_id").orderBy("best", "paper_id")
     return best.select("query_id", "paper_id", F.row_number().over(order).alias("rank")).where(F.col("rank") <= top_k)

@@ -14,16 +14,22 @@ def _terms(text: Column, stemmed: bool) -> Column:
     return stems_udf(terms(text)) if stemmed else terms(text)
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows by chunk, to a number of parts, since parts joined to a size would hold many times that in pairs with queries."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunk_id")
+
+
 def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", stemmed: bool = False, wanted: DataFrame | None = None) -> DataFrame:
     """chunk, term, tf: the index. Stored once for a configuration, it serves any number of queries.
 
     stemmed: English stems without stop words; the queries must be made alike.
     wanted: the terms (term) that will be asked for, if they are known already;
-    all others are left out before anything is grouped.
+    all others are left out before anything is grouped, and what is left is
+    dealt by chunk.
     """
     rows = chunks.select(F.col(id_col).alias("chunk_id"), F.explode(_terms(F.col(text_col), stemmed)).alias("term"))
     if wanted is not None:
-        rows = rows.join(wanted.select("term").distinct(), "term", "left_semi")
+        rows = _dealt(rows.join(wanted.select("term").distinct(), "term", "left_semi"))
     return rows.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
 
 
@@ -33,16 +39,23 @@ def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "t
     return queries.select(F.col(id_col).alias("query_id"), own.alias("t")).select("query_id", F.size("t").alias("n_terms"), F.explode("t").alias("term"))
 
 
-def search(queries: DataFrame, index: DataFrame, *, top_k: int = 5, term_logic: str = "all") -> DataFrame:
+def search(queries: DataFrame, index: DataFrame, *, top_k: int = 5, term_logic: str = "all", dealt: bool = False) -> DataFrame:
     """Hits (query_id, chunk_id, score, rank) with contiguous ranks from 1.
 
     Members: chunks with all of a query's terms, or with any. Score: the number
     of distinct query terms in the chunk, then their occurrences (term
     frequency, not cover density); ties go to the lesser chunk id.
     queries: ``query_terms``; index: ``postings``.
+
+    Where a chunk's postings lie in one part, its pairs with the queries are
+    added up and ranked where they arise, and only each part's best ones move
+    on.  dealt: they do, as ``postings`` with ``wanted`` leaves them; others
+    are dealt first.
     """
     if term_logic not in ("all", "any"):
         raise ValueError(f"term_logic is 'all' or 'any', not {term_logic!r}")
+    if not dealt:
+        index = _dealt(index.join(queries.select("term").distinct(), "term", "left_semi"))
     found = index.join(queries, "term").groupBy("query_id", "chunk_id").agg(F.count("*").alias("matched"), F.sum("tf").alias("tf"), F.first("n_terms").alias("n_terms"))
     if term_logic == "all":
         found = found.where("matched = n_terms")

@@ -211,6 +211,25 @@ def test_containment(spark):
     assert rows(citations.containment(docs, items)) == rows(citations.containment(docs, items, max_bytes=12)) == every and (20, 4) in every and (21, 4) not in every
 
 
+def test_containment_of_long_phrases_and_repeated_rows(spark):
+    """Anchors of each length, anywhere in a text; phrases that share words but no run; equal rows and null ids count."""
+    words = [f"w{k % 7}x{k * k % 11}" for k in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(reversed(words))), (None, "q " + " ".join(words[5:40])), (3, " ".join(words[:9]))], "doc_id long, text string")
+    items = [(n * 100 + k, " ".join(words[k : k + n])[1:-1]) for n in range(2, 16) for k in (0, 7, 44)]
+    items = spark.createDataFrame([*items, items[-1], (None, " ".join(words[8:20]))], "item_id long, text string")
+    every = docs.crossJoin(items.select("item_id", F.col("text").alias("n"))).where(F.contains("text", "n")).select("item_id", "doc_id")
+    got = citations.containment(docs, items)
+    key = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert key(got) == key(every) and (None, None) in key(got) and key(got).count((1544, 1)) == 2
+
+
+def test_search_over_any_index_is_the_same(spark):
+    chunks = spark.createDataFrame([(k, " ".join(f"t{(k * j) % 13}" for j in range(1, 9))) for k in range(200)], "chunk_id long, text string")
+    asked = lexical.query_terms(spark.createDataFrame([(q, f"t{q} t{q + 3} t1") for q in range(9)], "query_id long, text string"))
+    dealt = lexical.search(asked, lexical.postings(chunks, wanted=asked), top_k=7, term_logic="any", dealt=True)
+    assert rows(dealt) == rows(lexical.search(asked, lexical.postings(chunks), top_k=7, term_logic="any")) and dealt.count() == 63
+
+
 def test_paragraph_ids_are_a_papers_own(spark):
     from lectern.sources import tables
 
