@@ -73,7 +73,7 @@ def op9_language_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_url_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
-    return judge(pages, fit(labelled_by_rules(pages), max_rows=20_000))
+    return judge(pages, fit(labelled_by_rules(pages)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

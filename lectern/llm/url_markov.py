@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .workspace import materialize
 
 ORDER, ALPHABET, PAD = 4, 64, "^"
+#: Contexts of an order up to which their table is sent to all tasks; a larger one is joined by context, with the same result.
+BROADCAST_CONTEXTS = 100_000
 
 #: The default rules: host, beginning of the path, verdict.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -86,7 +88,7 @@ def _probabilities(at: DataFrame, tables: list[DataFrame]) -> Column | DataFrame
     for which in ("good", "bad"):
         at = at.withColumn(f"p_{which}", F.lit(1.0 / ALPHABET))
     for k, table in enumerate(tables, 1):
-        at = at.join(F.broadcast(table.withColumnRenamed("ctx", f"c{k}")), f"c{k}", "left")
+        at = at.join(table.withColumnRenamed("ctx", f"c{k}"), f"c{k}", "left")
         for which in ("good", "bad"):
             n, t, p = F.col(f"n_{which}"), F.col(f"t_{which}"), F.col(f"p_{which}")
             seen = F.coalesce(F.col(f"m_{which}")[F.col("c")], F.lit(0))
@@ -104,11 +106,10 @@ def score(df: DataFrame, keys: list[str], text: str, tables: list[DataFrame]) ->
     return at.groupBy(*keys).agg(F.avg(F.log(F.col("p_bad") / F.col("p_good"))).alias("score"))
 
 
-def fit(labelled: DataFrame, *, max_rows: int = 20_000, false_reject: float = 0.005) -> UrlModel:
+def fit(labelled: DataFrame, *, false_reject: float = 0.005) -> UrlModel:
     """Fit both models and the threshold on labelled URLs (url, accepted).
 
-    At most about ``max_rows`` rows are used (those with the least hashes), which
-    bounds the tables.  A quarter is kept from the models to calibrate: of its
+    All rows are used.  A quarter is kept from the models to calibrate: of its
     accepted URLs ``false_reject`` are over a score, of its rejected ones
     ``false_reject`` are under another, and the threshold is halfway between
     them, or the first where the classes overlap; it is not below 0.  Where
@@ -117,8 +118,7 @@ def fit(labelled: DataFrame, *, max_rows: int = 20_000, false_reject: float = 0.
     """
     host, path = host_and_path(F.col("url"))
     rows = labelled.where("url IS NOT NULL AND accepted IS NOT NULL").select(_text(host, path).alias("text"), "accepted").distinct()
-    share = max_rows / max(1, rows.count())
-    rows = materialize(rows.where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30))), "labelled-urls")
+    rows = materialize(rows, "labelled-urls")
     aside = F.pmod(F.xxhash64("text", F.lit(2)), F.lit(4)) == 0
     at = materialize(_positions(rows.where(~aside), ["accepted"], "text"), "labelled-characters")
     tables = []
@@ -129,7 +129,8 @@ def fit(labelled: DataFrame, *, max_rows: int = 20_000, false_reject: float = 0.
             mine = F.expr(own)
             chars = F.map_from_entries(F.collect_list(F.when(mine, F.struct("c", "count"))))
             both += [F.coalesce(F.sum(F.when(mine, F.col("count"))), F.lit(0)).alias(f"n_{which}"), F.count_if(mine).alias(f"t_{which}"), chars.alias(f"m_{which}")]
-        tables.append(materialize(counts.groupBy("ctx").agg(*both), f"contexts-{k}"))
+        table = materialize(counts.groupBy("ctx").agg(*both), f"contexts-{k}")
+        tables.append(F.broadcast(table) if table.count() <= BROADCAST_CONTEXTS else table)
     held = score(rows.where(aside).withColumn("row", F.xxhash64("text", "accepted")), ["row", "accepted"], "text", tables)
     ends = held.agg(
         F.percentile_approx(F.when(F.col("accepted"), F.col("score")), 1 - false_reject, 10_000), F.percentile_approx(F.when(~F.col("accepted"), F.col("score")), false_reject, 10_000)

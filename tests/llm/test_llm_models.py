@@ -429,6 +429,19 @@ def test_media_column(spark):
     assert [(r.payload_bytes, r.media_bytes, r.feature) for r in empty] == [(0, 0, ":0,0,0")] * 2
 
 
+def test_all_labelled_urls_are_counted(spark, monkeypatch):
+    """25,000 URLs; the tables' counts are those of all that aren't held aside, and joined tables score as those sent to all tasks."""
+    urls = spark.range(25_000).select(F.concat(F.lit("http://h.co/"), "id").alias("url"), (F.col("id") % 2 == 0).alias("accepted"))
+    text = um._text(*um.host_and_path(F.col("url")))
+    used = urls.where(F.pmod(F.xxhash64(text, F.lit(2)), F.lit(4)) != 0).agg(F.sum(F.length(text))).first()[0]
+    model = um.fit(urls)
+    assert [t.agg(F.sum(F.col("n_good") + F.col("n_bad"))).first()[0] for t in model.tables] == [used] * um.ORDER
+    monkeypatch.setattr(um, "BROADCAST_CONTEXTS", 0)
+    pages = urls.limit(300).withColumn("page_id", F.monotonically_increasing_id())
+    scores = [{r.page_id: r.score for r in um.judge(pages, m, rules=()).collect()} for m in (model, um.fit(urls))]
+    assert scores[0] == pytest.approx(scores[1], rel=1e-9) and len(scores[0]) == 300
+
+
 # language
 
 WORDS = {"xx": "aber nicht wieder schon immer gegen zwischen", "yy": "pero siempre entre contra nunca ahora", "zz": "toujours jamais contre déjà élève forêt"}
