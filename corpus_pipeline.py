@@ -48,11 +48,11 @@ def _stage(run: Stage) -> Stage:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a known language, with the predicted one as ``lang``.
 
-    Null texts and texts without a letter are in none and go.  Null ids and
+    The model and its thresholds come from all labelled rows.  Null texts and texts without a letter are in none and go.  Null ids and
     repeated rows are judged row by row.  Without labelled rows nothing is
     known, and all go.
     """
-    model = train(docs.where(~held_out()))
+    model = train(docs.where(~held_out()), sample=None)
     known = thresholds(docs.where(held_out()), model)
     least = F.lit(MIN_COVERAGE)
     for name, value in known.items():

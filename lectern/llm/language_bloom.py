@@ -137,26 +137,28 @@ def _to_slots(bits: int):
     return run
 
 
-def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 3000, min_docs: int = 3, slot_bits: int = SLOT_BITS) -> LanguageFilter:
+def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int | None = 3000, min_docs: int = 3, slot_bits: int = SLOT_BITS) -> LanguageFilter:
     """Learn the filter from labelled rows.
 
     sample: about this many rows per language are read, those with the least
-    hashed ids; it bounds the model's training.  An n-gram enters a language's
-    filter if at least ``min_docs`` of them contain it (fewer where the
-    language has fewer rows).  Rows with a null text or label are left out.
+    hashed ids; it bounds the model's training.  None: all rows are.  An n-gram
+    enters a language's filter if at least ``min_docs`` of them contain it
+    (fewer where the language has fewer rows; one in a thousand of them where
+    that is more and all are read).  Rows with a null text or label are left out.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}  # a row for each language
     languages = sorted(sizes)
     if not languages:
         return LanguageFilter([], np.zeros((1, 1 << slot_bits), dtype=np.uint64))
-    limit = lambda name: min(1.0, sample / sizes[name]) * (1 << 30)
-    share = F.create_map(*[F.lit(x) for name in languages for x in (name, limit(name))])
-    least = F.create_map(*[F.lit(x) for name in languages for x in (name, min(min_docs, max(1, sizes[name] // 10)))])
+    few = lambda n: max(min(min_docs, max(1, n // 10)), n // 1000 if sample is None else 0)
+    least = F.create_map(*[F.lit(x) for name in languages for x in (name, few(sizes[name]))])
     bit = F.create_map(*[F.lit(x) for k, name in enumerate(languages) for x in (name, 1 << k % WORD)])
     word = F.create_map(*[F.lit(x) for k, name in enumerate(languages) for x in (name, k // WORD)])
-    chosen = rows.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1 << 30)) < share[F.col(lang_col)])
-    grams = chosen.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(_train_grams, "lang string, gram bigint, n bigint")
+    if sample is not None:
+        share = F.create_map(*[F.lit(x) for name in languages for x in (name, min(1.0, sample / sizes[name]) * (1 << 30))])
+        rows = rows.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1 << 30)) < share[F.col(lang_col)])
+    grams = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(_train_grams, "lang string, gram bigint, n bigint")
     grams = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least[F.col("lang")])
     slots = grams.select("gram", word[F.col("lang")].alias("word"), bit[F.col("lang")].cast("bigint").alias("mask")).mapInArrow(_to_slots(slot_bits), "slot bigint, word int, mask bigint")
     table = slots.groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toArrow()  # at most 2 ** slot_bits rows for each WORD languages
@@ -206,18 +208,13 @@ def identify(docs: DataFrame, model: LanguageFilter, *, id_col: str = "doc_id",
     return out.select(*[F.col(f"k{k}").alias(c) for k, c in enumerate(names)], "lang_pred", "score", "coverage")
 
 
-def thresholds(labelled: DataFrame, model: LanguageFilter, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 1000, quantile: float = 0.01, share: float = 0.5) -> dict[str, float]:
+def thresholds(labelled: DataFrame, model: LanguageFilter, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.01, share: float = 0.5) -> dict[str, float]:
     """The coverage that a text of each language needs: ``share`` of a low quantile of labelled rows' coverage.
 
-    labelled: rows that the model hasn't learnt from; about ``sample`` of each
-    language are read, and those that are identified as labelled count.
+    labelled: rows that the model hasn't learnt from; all of them are read, and
+    those that are identified as labelled count.
     """
     rows = labelled.where(F.col(lang_col).isin(model.languages) & F.col(text_col).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}  # a row for each language
-    if not sizes:
-        return {}
-    limit = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, sample / n) * (1 << 30))])
-    rows = rows.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(12)), F.lit(1 << 30)) < limit[F.col(lang_col)])
     own = rows.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("label"))
     right = identify(own, model, keep=("label",)).where("lang_pred = label")
     return {r[0]: share * r[1] for r in right.groupBy("label").agg(F.percentile_approx("coverage", quantile, 10000)).collect()}

@@ -525,6 +525,27 @@ def test_filter_and_counts_are_those_of_plain_sets(spark):
             assert clean[j, k] == pytest.approx(max(0, hits - len(grams) * model.rate[k]) / (1 - model.rate[k]))
 
 
+def test_all_labelled_rows_count(spark):
+    """4,000 rows: n-grams of rows anywhere among them are learnt, and the threshold is the quantile over all of them."""
+    rows = [(k, f"aber nicht {chr(97 + k % 26) * 5}" if k < 3900 else "wieder schon immer gegen", "xx") for k in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lb.train(docs, sample=None)
+    whole = spark.createDataFrame([r for r in rows if r[0] < 3900 or r[0] < 3903], "doc_id long, text string, lang string")
+    total, hits = model.counts(np.frombuffer(b"wieder schon immer gegen", np.uint8), np.array([0, 24]))
+    assert hits[0, 0] > 0.9 * total[0]
+    rare = lb.train(whole, sample=None).counts(np.frombuffer(b"wieder schon immer gegen", np.uint8), np.array([0, 24]))  # 3 of 3,903 rows are one in a thousand
+    assert rare[1][0, 0] > 0.9 * rare[0][0]
+    least = lb.thresholds(docs, model, quantile=0.5, share=1.0)
+    cover = [r.coverage for r in lb.identify(docs, model).where("lang_pred = 'xx'").collect()]
+    assert least == {"xx": pytest.approx(sorted(cover)[(len(cover) + 1) // 2 - 1])}
+    half = docs.where("doc_id % 2 = 0").withColumn("text", F.lit("qqqq wwww nicht aber"))
+    mixed = half.unionByName(docs.where("doc_id % 2 = 1"))
+    cover = sorted(r.coverage for r in lb.identify(mixed, model).where("lang_pred = 'xx'").collect())
+    n = sum(c == cover[0] for c in cover)
+    assert n == 2000 and lb.thresholds(mixed, model, quantile=n / len(cover), share=1.0)["xx"] == pytest.approx(cover[0])
+    assert lb.thresholds(mixed, model, quantile=(n + 1) / len(cover), share=1.0)["xx"] == pytest.approx(cover[n])
+
+
 def test_more_languages_than_a_mask_has_bits(spark):
     """130 languages of one word each."""
     word = lambda k: "".join(chr(97 + k // 26**j % 26) * 2 for j in range(4))
