@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import LONG_TITLE_TOKENS, arxiv_key, doi_key, find_arxiv, find_doi, phrase_udf, reference_phrase_udf, title_matches
@@ -84,12 +86,12 @@ def _longest_run(words: Column, length: int) -> Column:
 def containment(documents: DataFrame, phrases: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
     """(item_id, doc_id) where a document contains a phrase verbatim, for each row of either.
 
-    phrases: item_id, text.  A phrase meets a document through an anchor, a run
-    of eight (or four, two, one where there are fewer) of its inner words
-    between white space, which the document must have as words; then the texts
-    are compared.  A text is moved once, however many phrases it meets.
-    Phrases of one or two words have no such anchor: they are compared with
-    each document, and sent to the tasks in blocks of ``max_bytes``.
+    phrases: item_id, text, sent to the tasks in blocks of ``max_bytes``.  A
+    phrase meets a document through an anchor, a run of eight (or four, two,
+    one where there are fewer) of its inner words between white space, which
+    the document must have as words; then the texts are compared, in place: no
+    document is moved.  Phrases of one or two words have no such anchor and are
+    compared with each document.
     """
     items = phrases.where("text IS NOT NULL").select("item_id", F.col("text").alias("needle"))
     parts = F.split("needle", _SPACE)
@@ -99,20 +101,19 @@ def containment(documents: DataFrame, phrases: DataFrame, max_bytes: int = 64 <<
         length, run = (F.when(F.size("inner") >= k, x).otherwise(y) for x, y in ((F.lit(k), length), (_longest_run(F.col("inner"), k), run)))
     items = items.select("item_id", "needle", length.alias("length"), run.alias("run"))
     docs = documents.select("doc_id", "text")
-    lengths, total = items.agg(F.collect_set("length"), F.sum(F.when(F.col("run").isNull(), F.octet_length("needle")))).first()
+    blocks = lambda size: 1 + 2 * size // max_bytes
+    size = lambda anchored: F.sum(F.when(F.col("run").isNotNull() == anchored, F.octet_length("needle")))
+    lengths, total, rest = items.agg(F.collect_set("length"), size(True), size(False)).first()
+    own = lambda rows, n, k: F.broadcast(rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k))
     met = docs.join(items, F.lit(False)).select("item_id", "doc_id")
+    found = []
     if lengths:
-        words = docs.select("doc_id", F.split("text", _SPACE).alias("w"))
-        anchors = items.where("run IS NOT NULL")
+        anchors = items.where("run IS NOT NULL").select("item_id", "needle", "run")
+        words = docs.select("*", F.explode(F.array(F.split("text", _SPACE))).alias("w"))  # words stay a column, split once
         runs = [F.when(F.size("w") >= k, _runs(F.col("w"), k, lambda run, i: run)).otherwise(F.array().cast("array<bigint>")) for k in sorted(lengths)]
-        near = words.select("doc_id", F.explode(F.concat(*runs)).alias("run")).join(anchors.select("run").distinct(), "run", "left_semi").distinct()
-        pairs = near.join(anchors, "run").select(F.col("doc_id").alias("_doc"), "item_id", "needle")
-        met = docs.join(pairs, F.col("doc_id").eqNullSafe(F.col("_doc")) & F.contains("text", "needle")).select("item_id", "doc_id")
-    if total is None:
-        return met
-    short = items.where("run IS NULL").select("item_id", "needle")
-    blocks = 1 + 2 * total // max_bytes
-    for k in range(blocks):
-        own = short.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        met = met.unionByName(docs.join(F.broadcast(own), F.contains(F.col("text"), F.col("needle"))).select("item_id", "doc_id"))
-    return met
+        spread = words.select("doc_id", "text", F.array_distinct(F.concat(*runs)).alias("runs")).select("doc_id", "text", F.explode_outer("runs").alias("run"))
+        found += [spread.join(own(anchors, n, k), "run").where(F.contains("text", "needle")) for n in [blocks(total)] for k in range(n)]
+    if rest is not None:
+        short = items.where("run IS NULL").select("item_id", "needle")
+        found += [docs.join(own(short, n, k), F.contains(F.col("text"), F.col("needle"))) for n in [blocks(rest)] for k in range(n)]
+    return reduce(DataFrame.unionByName, [rows.select("item_id", "doc_id") for rows in found], met) if len(found) != 1 else found[0].select("item_id", "doc_id")

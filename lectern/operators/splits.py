@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
-def dev_only(rows: DataFrame, split: DataFrame, include_holdout: bool = False) -> DataFrame:
-    """Rows (with paper_id) of the development split; with ``include_holdout`` of both splits."""
+def dev_only(rows: DataFrame, split: DataFrame | Column, include_holdout: bool = False) -> DataFrame:
+    """Rows (with paper_id) of the development split; with ``include_holdout`` of both splits.
+
+    split: the split table, or, where the rows tell it, a column of theirs; then nothing is joined.
+    """
+    if isinstance(split, Column):
+        return rows.where(F.col("paper_id").isNotNull() & (split.isin("dev", "holdout") if include_holdout else split == "dev"))
     wanted = split if include_holdout else split.where("split = 'dev'")
     return rows.join(wanted.select("paper_id"), "paper_id", "left_semi")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Paragraphs that a paper may have: its ids are its own up to there, and more raise.
 STRIDE = 1 << 24
@@ -18,9 +18,14 @@ def papers(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").alias("paper_id"), F.concat(F.lit("doc-"), F.col("doc_id")).alias("external_id"), F.sha2(text.cast("binary"), 256).alias("sha256"), "text", "lang", "source")
 
 
-def splits(documents: DataFrame) -> DataFrame:
+def split_of(paper_id: Column) -> Column:
     """The frozen split of the fixture: every third id is held out."""
-    return documents.select(F.col("doc_id").alias("paper_id"), F.when(F.col("doc_id") % 3 == 0, "holdout").otherwise("dev").alias("split"))
+    return F.when(paper_id % 3 == 0, "holdout").otherwise("dev")
+
+
+def splits(documents: DataFrame) -> DataFrame:
+    """``split_of`` as a table."""
+    return documents.select(F.col("doc_id").alias("paper_id"), split_of(F.col("doc_id")).alias("split"))
 
 
 def paragraphs(papers: DataFrame, section_size: int = 5) -> DataFrame:

@@ -5,7 +5,7 @@ import re
 
 import pytest
 from hypothesis import given, settings, strategies as st
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from lectern.config import ChunkConfig, RetrievalConfig, RunConfig
 from lectern.functions import text as X
@@ -230,6 +230,54 @@ def test_search_over_any_index_is_the_same(spark):
     assert rows(dealt) == rows(lexical.search(asked, lexical.postings(chunks), top_k=7, term_logic="any")) and dealt.count() == 63
 
 
+def _made(df):
+    """Rows that each node of a plan made when it ran."""
+    out, nodes = [], [df._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            nodes.append(node.executedPlan())
+            continue
+        if kind.endswith("QueryStageExec"):
+            nodes.append(node.plan())
+        if node.metrics().contains("numOutputRows"):
+            out.append((node.metrics().apply("numOutputRows").value(), node.simpleString(20)))
+        children = node.children()
+        nodes += [children.apply(k) for k in range(children.size())]
+    return out
+
+
+def test_search_makes_few_of_the_pairs(spark):
+    """Each chunk shares common words with each query, but only a few are near one: the others are never paired."""
+    common = [f"c{j}" for j in range(3)]
+    chunks = [(k, " ".join([common[k % 3], common[(k + 1) % 3], *(f"q{k // 300}x{j}" for j in range(k % 9 if k % 2 == 0 else 0))])) for k in range(12_000)]
+    chunks = spark.createDataFrame(chunks, "chunk_id long, text string")
+    asked = lexical.query_terms(spark.createDataFrame([(q, " ".join([*common, *(f"q{q}x{j}" for j in range(8))])) for q in range(40)], "query_id long, text string"))
+    got = lexical.search(asked, lexical.postings(chunks, wanted=asked), top_k=1, term_logic="any", dealt=True)
+    best = {r.query_id: (r.chunk_id, r.matched) for r in got.collect()}
+    assert best == {q: (min(k for k in range(300 * q, 300 * q + 300) if k % 2 == 0 and k % 9 == 8), 10) for q in range(40)}
+    most = max(_made(got))
+    assert most[0] < 40 * 12_000 / 4, most
+
+
+@pytest.mark.parametrize("logic", ["any", "all"])
+def test_search_finds_what_all_pairs_give(spark, logic):
+    """Repeated and null ids of queries and chunks, many ties, and queries in several blocks."""
+    draw = random.Random(5)
+    text = lambda n: " ".join(f"t{int(draw.paretovariate(0.7)) % 60}" for _ in range(n))
+    chunks = [(k // 2 if k % 50 == 0 else k, text(draw.randint(0, 25))) for k in range(1500)] + [(None, text(9)), (None, text(9))]
+    queries = [(q, text(draw.randint(0, 12) if logic == "any" else 2)) for q in range(30)] + [(7, "t1 t2 t9"), (None, "t3 t1")]
+    chunks, queries = spark.createDataFrame(chunks, "chunk_id long, text string"), spark.createDataFrame(queries, "query_id long, text string")
+    asked = lexical.query_terms(queries).where("query_id IS NULL OR query_id <> 7 OR n_terms = 3" if logic == "all" else "true")
+    found = lexical.postings(chunks).join(asked, "term").groupBy("query_id", "chunk_id").agg(F.count("*").alias("matched"), F.sum("tf").alias("tf"), F.first("n_terms").alias("n"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("matched"), F.desc("tf"), "chunk_id")
+    every = found.where("matched = n" if logic == "all" else "true").withColumn("rank", F.row_number().over(order)).where("rank <= 6").drop("n")
+    key = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    for more in ({}, {"max_terms": 40}):
+        assert key(lexical.search(asked, lexical.postings(chunks, wanted=asked), top_k=6, term_logic=logic, dealt=True, **more)) == key(every)
+
+
 def test_paragraph_ids_are_a_papers_own(spark):
     from lectern.sources import tables
 
